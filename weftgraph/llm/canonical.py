@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import skew_safe_lookup
+from weftgraph.runtime import cut
 
 # General words for the kinds of things that knowledge graphs name, in English, German, French and Spanish.
 TYPE_WORDS = {
@@ -34,15 +35,15 @@ TYPE_WORDS = {
     "ANATOMY": "anatomical structure; körperteil; anatomie; partie du corps; anatomía; parte del cuerpo",
     "GENE": "hereditary unit; erbanlage; gen; gène",
     "RESEARCH_STUDY": "research; studie; étude; estudio; scientific study",
-    "CONTRACT": "vertrag; contrat; contrato; deal; covenant",
+    "CONTRACT": "vertrag; contrat; contrato; deal; deed; covenant",
     "LAW": "act of parliament; gesetz; loi; ley; regulation",
-    "FINANCIAL_METRIC": "kennzahl; indicateur financier; indicador financiero; financial figure; finanzkennzahl",
+    "FINANCIAL_METRIC": "kennzahl; indicateur financier; indicador financiero; financial figure; fin metric; finanzkennzahl",
     "PRODUCT": "article for sale; produkt; produit; producto; goods",
     "CONCEPT": "abstraction; begriff; konzept; notion; concepto; idée",
     "EVENT": "veranstaltung; ereignis; événement; évènement; evento; gathering",
 }
 
-GRAM_FLOOR, THRESHOLD, MARGIN = 0.2, 0.4, 0.05
+GRAM_FLOOR, THRESHOLD, MARGIN = 0.2, 0.3, 0.05
 
 
 def normalise(c: Column) -> Column:
@@ -51,7 +52,8 @@ def normalise(c: Column) -> Column:
     x = F.translate(x, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāčďēěğīłńňőřśšťūůűźżž", "aaaaaaceeeeiiiinoooooouuuuyyacdeegilnnorsstuuuzzz")
     x = F.regexp_replace(x, r"ß", "ss")
     x = F.regexp_replace(x, r"[​﻿]", "")
-    x = F.regexp_replace(x, r"(?U)\s*[\(\[][^)\]]*[\)\]]\s*$", "")
+    x = F.regexp_replace(x, r"(?U)(?<=[\p{L}\p{N}.])\s*[\(\[][^)\]]*[\)\]]\s*$", "")
+    x = F.regexp_replace(x, r"(?U)(?<=[\p{L}\p{N}.])\s+[-–—/,|]\s+(primary|main|secondary|other|default)\W*$", "")
     x = F.regexp_replace(x, r"(?U)^\s*(entity[_ ]?type|type|kind|category|label|class)\s*[:=/|]\s*", "")
     x = F.regexp_replace(x, r"(?U)^\s*\d+\s*[.):]\s*(?=\p{L})", "")
     x = F.regexp_replace(x, r"(?U)[\p{P}\p{S}\s_“”„‘’«»‹›`´…·•®™ ]+", " ")
@@ -94,6 +96,7 @@ def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: floa
     edit (two from nine letters on; neighbouring letters swapped are one) of its form. Values of three letters or fewer
     must match exactly. Blank values, and any value if the list is empty, are unmatched.
     """
+    forms = cut(forms)
     distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("norm", normalise(F.col("value")))
     norms = distinct.select("norm").where("norm <> ''").distinct()
     exact = norms.join(forms.select(F.col("form").alias("norm"), "entry"), "norm")
@@ -103,7 +106,7 @@ def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: floa
     idf = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("gram", F.log(1 + F.col("n_forms") / F.col("df")).alias("w"))  # n has one row
     posts = posts.join(idf, "gram")
     form_norm = posts.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fn"))
-    index = posts.join(form_norm, "form").select("gram", "form", "entry", "w", "fn")
+    index = cut(posts.join(form_norm, "form").select("gram", "form", "entry", "w", "fn"))
     grams = fuzzy.select("norm", F.explode(_grams("norm")).alias("gram"))
     known = grams.join(idf, "gram", "left").crossJoin(n).withColumn("w", F.coalesce("w", F.log(1 + F.col("n_forms"))))
     value_norm = known.groupBy("norm").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vn"))

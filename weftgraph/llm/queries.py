@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.canonical import map_column, map_values, reference_forms, type_words
 from weftgraph.llm.components import consolidate_pairs
+from weftgraph.llm.mixing import mix, shares
+from weftgraph.llm.packing import measured, pack_items, pack_summary
 from weftgraph.llm.survivor import golden_records, survivors
+from weftgraph.llm.tokens import with_token_counts
 from weftgraph.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,4 +52,33 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return consolidate_pairs(load(spark, folder, "merge_log", "name_a", "name_b", "verdict"), "name_a", "name_b", "verdict = 'match'")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_golden": p3_golden, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found}
+def _lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return measured(with_token_counts(load(spark, folder, "documents", "doc_id", "source", "text")))
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_items(_lengths(spark, folder), load(spark, folder, "pack_spec"), "doc_id", "n_tokens", "pack_no", "capacity_tokens")
+    return packed.select(F.col("pack").cast("int").alias("pack_no"), F.col("item").alias("doc_id"), "piece", "start", F.col("size").alias("n_tokens"), "container", "unused")
+
+
+def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
+    spec = load(spark, folder, "pack_spec")
+    packed = pack_items(_lengths(spark, folder), spec, "doc_id", "n_tokens", "pack_no", "capacity_tokens")
+    return pack_summary(packed, spec, "pack_no", "capacity_tokens").withColumnRenamed("pack", "pack_no")
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_lengths(spark, folder), load(spark, folder, "mix_target"), "doc_id", "source", "n_tokens", "target_share", "max_repeat")
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).select(F.col("doc").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "repeats")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(_mixed(spark, folder), load(spark, folder, "mix_target"), "source", "target_share", "max_repeat")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares)
+}
