@@ -36,15 +36,14 @@ def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, rows: int | Non
     return big.where(is_hot).join(F.broadcast(few), key, "left").unionByName(big.where(~is_hot).join(small, key, "left"))
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: Column, name: str = "rank", parts: int = 256) -> DataFrame:
+def spread_rank(df: DataFrame, keys: list[str], order: Column, name: str = "rank") -> DataFrame:
     """Ranks from 0 within ``keys`` in the order of the bigint hash ``order``, without one task per key.
 
-    The hash is cut into ``parts`` ranges. Rows are numbered within (keys, range); the rows of the lower ranges of the
-    key, counted by a pre-aggregation, are added. So a key with a third of all rows is ranked by ``parts`` tasks.
+    The hash is cut into 256 ranges by its upper bits. Rows are numbered within (keys, range); the rows of the lower ranges of the
+    key, counted by a pre-aggregation, are added. So a key with a third of all rows is ranked by 256 tasks.
     ``order`` must be a 64-bit hash that differs between rows (ties get an arbitrary but fixed order by all columns).
     """
-    span = 2**64 // parts
-    ranged = df.withColumn("__h", order).withColumn("__p", F.floor((F.col("__h").cast("decimal(20,0)") + F.lit(2**63)) / F.lit(span)).cast("int"))
+    ranged = df.withColumn("__h", order).withColumn("__p", F.shiftright("__h", 56))
     counts = ranged.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(below), F.lit(0))).drop("__n")
