@@ -13,11 +13,25 @@ from weftgraph.llm.mixing import mix, shares
 from weftgraph.llm.packing import measured, pack_items, pack_summary
 from weftgraph.llm.survivor import golden_records, survivors
 from weftgraph.llm.tokens import with_token_counts
+from weftgraph.llm.vectors import similar_pairs, similar_vectors
 from weftgraph.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Components of a usable vector, neighbours per vector, least cosine of a case.
+DIM, NEIGHBOURS, LEAST_COSINE = 64, 5, 0.85
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = None
+    for table, key in (("entity", "entity_id"), ("chunk", "chunk_no")):
+        near = similar_vectors(load(spark, folder, table, key, "embedding"), key, "embedding", DIM, NEIGHBOURS, LEAST_COSINE)
+        pairs = similar_pairs(near).select(F.lit(table).alias("collection"), "id_a", "id_b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     v = load(spark, folder, "entity_version", "group_id", "version_id", "name", "description", "aliases", "trust", "seen_at")
     won = survivors(v, "group_id", "version_id", ["name", "description", "aliases"], "trust", "seen_at")
@@ -80,5 +94,5 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares)
+    f.__name__: f for f in (p1_found, p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares)
 }
