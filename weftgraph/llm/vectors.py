@@ -29,6 +29,8 @@ BUCKET_ROWS = 8_192
 #: Vectors whose value occurs more often than max(COPIES_LEAST, rows / COPIES_PARTS) travel once: fewer than COPIES_PARTS.
 COPIES_LEAST, COPIES_PARTS = 256, 1_000
 SUBSPACES, CODES = 8, 256
+#: Candidates whose asymmetric estimate lies further below the least cosine are not reranked.
+SLACK = 0.5
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -200,7 +202,7 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     b_rows = np.nonzero(based)[0]
     if not len(b_rows):
         return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64"})
-    floor = -2.0 if min_cosine is None else min_cosine - 0.12
+    floor = -2.0 if min_cosine is None else min_cosine - SLACK
     q, b = _scan(index, x[b_rows], probes[b_rows, 0], x, probes, floor, keep)
     b = b_rows[b]
     other = q != b
