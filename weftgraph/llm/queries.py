@@ -11,6 +11,7 @@ from weftgraph.llm.canonical import map_column, map_values, reference_forms, typ
 from weftgraph.llm.components import consolidate_pairs
 from weftgraph.llm.mixing import mix, shares
 from weftgraph.llm.packing import measured, pack_items, pack_summary
+from weftgraph.llm.spampages import page_shares, spam_pages
 from weftgraph.llm.survivor import golden_records, survivors
 from weftgraph.llm.tokens import with_token_counts
 from weftgraph.llm.vectors import similar_pairs, similar_vectors
@@ -93,6 +94,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(_mixed(spark, folder), load(spark, folder, "mix_target"), "source", "target_share", "max_repeat")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return page_shares(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares)
+    f.__name__: f
+    for f in (p1_found, p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_shares)
 }
