@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.canonical import map_column, map_values, reference_forms, type_words
 from weftgraph.llm.components import consolidate_pairs
 from weftgraph.llm.mixing import mix, shares
+from weftgraph.llm.names import same_name_pairs, same_names
 from weftgraph.llm.packing import measured, pack_items, pack_summary
 from weftgraph.llm.spampages import page_shares, spam_pages
 from weftgraph.llm.survivor import golden_records, survivors
@@ -33,6 +34,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = same_names(load(spark, folder, "entity", "entity_id", "name", "aliases"), "entity_id", "name", "aliases")
+    return same_name_pairs(groups).select(F.col("rec_a").alias("entity_a"), F.col("rec_b").alias("entity_b"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     v = load(spark, folder, "entity_version", "group_id", "version_id", "name", "description", "aliases", "trust", "seen_at")
     won = survivors(v, "group_id", "version_id", ["name", "description", "aliases"], "trust", "seen_at")
@@ -104,5 +110,5 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_shares)
+    for f in (p1_found, p2_found, p3_found, p3_golden, p4_found, p4_values, p5_found, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_shares)
 }
