@@ -1,15 +1,20 @@
 """Session settings and the cutting of lineage.
 
-Nothing here keeps data in one executor only: lineage is cut with ``checkpoint()`` into the shared folder that the
-cluster names in ``spark.checkpoint.dir``.
+Nothing here keeps data in one executor only: lineage is cut by tables written to the shared folder that the cluster
+names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def session(app: str = "weftgraph", cores: str = "*", partitions: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the session is made by spark-submit."""
@@ -27,19 +32,27 @@ def session(app: str = "weftgraph", cores: str = "*", partitions: int | None = N
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder of ``spark.checkpoint.dir``; set one of our own only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="weftgraph-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to a table in the shared folder and read from there.
+
+    Later reads survive lost executors, the plan starts anew (iterations would otherwise carry every earlier round's
+    constraints along), and sizes are exact for the planner. The tables go with the folder; the schema is not inferred.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/weftgraph-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
