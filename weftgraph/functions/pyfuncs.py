@@ -84,7 +84,11 @@ def ratio(a: str | None, b: str | None) -> float:
     return max(r, 0.95) if is_containment(a, b) else r
 
 
-@F.pandas_udf("double")
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``ratio`` with the smaller name first: the measure depends on the order."""
-    return pd.Series([ratio(*sorted((x or "", y or ""))) for x, y in zip(a, b, strict=True)])
+def name_similarity():
+    """UDF (name, name) -> ``ratio``, with the smaller name first: the measure depends on the order."""
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(*sorted((x or "", y or ""))) for x, y in zip(a, b, strict=True)])
+
+    return similarity

@@ -10,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words left out of keyword queries.
-KEYWORD_STOPWORDS = (
-    "the and for are was were what when where which who whom how why does did about from with that this these those have has had can could tell"
-).split()
+KEYWORD_STOPWORDS = "the a an is are was were who what when where why how of to in on for and or about tell me his her their this that with does do did".split()
 # Words left out of the content words of a question.
 CONTENT_STOPWORDS = (
-    "the and for are was were what when where which who whom whose how why does did that this these those with from into than then have has had its their there about between both also been being will would"
+    "a an the and or but if then than that this these those there here is are was were be been being am do does did done doing have has had having "
+    "can could will would shall should may might must of in on at by for with without from to into onto over under about as it its he she they them him his her "
+    "our their your my which who whom whose what when where why how not no nor so such own same too very just also one two both each other another any all some none"
 ).split()
 #: Suffixes tried in this order by ``stem``; the first that fits is cut.
 STEM_SUFFIXES = ("ations", "ation", "ings", "ing", "edly", "ed", "es")

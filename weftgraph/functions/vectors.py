@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,21 +29,29 @@ def usable_vector(v: Column, dim: int) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Deterministic embedding: every token adds to the component its MD5 names; unit length, zeros for blank texts."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+def hash_embedder(dim: int = 64):
+    """UDF text -> unit vector: every token adds to the component its MD5 names; zeros for null and blank texts.
 
-    def residue(t: Column, m: int) -> Column:
-        # the 128-bit number as two halves: (hi mod m * 2^64 mod m + lo mod m) mod m
-        h = F.md5(t)
-        half = lambda s: F.conv(s, 16, 10).cast("decimal(20,0)")
-        hi, lo = half(F.substring(h, 1, 16)), half(F.substring(h, 17, 16))
-        return F.pmod(F.pmod(hi, F.lit(m).cast("decimal(20,0)")).cast("bigint") * F.lit(2**64 % m) + F.pmod(lo, F.lit(m).cast("decimal(20,0)")).cast("bigint"), F.lit(m)).cast("int")
+    An Arrow UDF: as an expression of built-ins the 128-bit arithmetic over ``dim`` components generates code that takes
+    longer to compile than to run.
+    """
 
-    hits = F.transform(tokens, lambda t: F.struct(residue(t, dim).alias("d"), (1 + residue(t, 7) / F.lit(7.0)).alias("w")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(hits, lambda h: h["d"] == i), F.lit(0.0), lambda s, h: s + h["w"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            for w in (t or "").lower().split():
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = int(hashlib.md5(w.encode()).hexdigest(), 16)
+                v[h % dim] += 1 + (h % 7) / 7
+            n = np.linalg.norm(v)
+            out.append(v / (n or 1.0))
+        return pd.Series(out)
+
+    return embed
 
 
 def _blocks(df: DataFrame, id_col: str, vec: str, prefix: str) -> DataFrame:

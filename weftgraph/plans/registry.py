@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from weftgraph.plans import graph, text
+
+    return [graph, text]
 
 
 def queries() -> dict[str, Query]:
