@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from weftgraph.plans import graph, text
+    from weftgraph.plans import graph, resolve, text
 
-    return [graph, text]
+    return [graph, text, resolve]
 
 
 def queries() -> dict[str, Query]:
