@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from weftgraph.plans import graph, resolve, text
+    from weftgraph.plans import graph, resolve, retrieve, score, streams, text
 
-    return [graph, text, resolve]
+    return [graph, text, resolve, retrieve, score, streams]
 
 
 def queries() -> dict[str, Query]:
