@@ -83,10 +83,10 @@ def pack_items(items: DataFrame, specs: DataFrame, item: str, size: str, pack: s
     """
     spec = specs.select(F.col(pack).cast("bigint").alias("pack"), F.col(capacity).cast("bigint").alias("cap")).where("cap > 0").distinct()
     base = items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"))
-    pieces = base.crossJoin(F.broadcast(spec))  # stated tasks, each over all items
+    pieces = base.crossJoin(spec)  # stated tasks, each over all items
     pieces = pieces.select("pack", "item", "cap", "n", F.explode(F.expr("sequence(0L, greatest(0L, (n - 1) div cap))")).alias("piece"))
     pieces = pieces.select("pack", "item", "piece", (F.col("piece") * F.col("cap")).alias("start"), F.expr("least(cap, n - piece * cap)").alias("size"))
-    hist = pieces.where("size > 0").groupBy("pack", "size").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(spec), "pack")
+    hist = pieces.where("size > 0").groupBy("pack", "size").agg(F.count(F.lit(1)).alias("n")).join(spec, "pack")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = plan(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["cap"].iloc[0]))
@@ -122,7 +122,7 @@ def pack_summary(packed: DataFrame, specs: DataFrame, pack: str, capacity: str)
     """Per task: containers, units packed, unused units, the least possible number of containers and the share used."""
     by = packed.where("container is not null").groupBy("pack").agg((F.max("container") + 1).alias("containers"), F.sum("size").alias("units"), F.count(F.lit(1)).alias("pieces"))
     s = specs.select(F.col(pack).cast("bigint").alias("pack"), F.col(capacity).cast("bigint").alias("capacity"))
-    out = by.join(F.broadcast(s), "pack")
+    out = by.join(s, "pack")
     return out.select("pack", "capacity", "pieces", "containers", "units", (F.col("containers") * F.col("capacity") - F.col("units")).alias("unused"), F.ceil(F.col("units") / F.col("capacity")).alias("least_containers"), F.round(F.col("units") / (F.col("containers") * F.col("capacity")), 6).alias("share_used"))
 
 

@@ -58,7 +58,7 @@ def _type_forms(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     e = load(spark, folder, "entity", "entity_id", "type")
     exact = load(spark, folder, "type_ref").select(F.col("type_name").alias("type"))
-    free = e.where(F.col("type").rlike(r"(?U)[^\s\u200b]")).join(F.broadcast(exact), "type", "left_anti")
+    free = e.where(F.col("type").rlike(r"(?U)[^\s\u200b]")).join(exact, "type", "left_anti")
     mapped = map_column(free, "type", _type_forms(spark, folder))
     return mapped.select("entity_id", F.coalesce("entry", F.lit(0)).cast("int").alias("type_id")).distinct()
 
