@@ -250,7 +250,7 @@ def community_louvain(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ADJ} SELECT DISTINCT s.name AS node, rel_type FROM adj JOIN seed_entity s ON s.name = adj.node")
 def rel_types_touching(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "seed_entity", "name").withColumnRenamed("name", "node")
-    return G.adjacency(V.edges(spark, d)).join(F.broadcast(s), "node").select("node", "rel_type").distinct()  # a fixed table of 60 rows
+    return G.adjacency(V.edges(spark, d)).join(s, "node").select("node", "rel_type").distinct()  # a fixed table of 60 rows
 
 
 @query("SELECT DISTINCT coalesce(rel_type, 'RELATED_TO') AS rel_type, regexp_full_match(upper(replace(coalesce(rel_type, 'RELATED_TO'), ' ', '_')), '[A-Za-z_][A-Za-z0-9_]*') AS safe, upper(replace(coalesce(rel_type, 'RELATED_TO'), ' ', '_')) AS norm FROM relationship")
@@ -323,7 +323,7 @@ def validate_graph(spark: SparkSession, d: str) -> DataFrame:
     n, e = V.nodes(spark, d), V.edges(spark, d)
     known = load(spark, d, "type_ref", "type_name").withColumnRenamed("type_name", "t")
     label = F.concat_ws(" ", "source", "rel_type", "target").alias("subject")
-    typed = n.withColumn("t", F.upper(F.trim("type"))).where("t is not null").join(F.broadcast(known), "t", "left_anti").select(F.lit("unknown type").alias("problem"), F.col("name").alias("subject"))
+    typed = n.withColumn("t", F.upper(F.trim("type"))).where("t is not null").join(known, "t", "left_anti").select(F.lit("unknown type").alias("problem"), F.col("name").alias("subject"))
     blank = n.where("coalesce(trim(description), '') = ''").select(F.lit("blank description").alias("problem"), F.col("name").alias("subject"))
     src = e.join(n.select(F.col("name").alias("source")), "source", "left_anti").select(F.lit("missing source").alias("problem"), label)
     tgt = e.join(n.select(F.col("name").alias("target")), "target", "left_anti").select(F.lit("missing target").alias("problem"), label)

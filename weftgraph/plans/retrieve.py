@@ -86,7 +86,7 @@ def seeds_topk_after_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ADJ}, {_SEEDS} SELECT s.name, s.rank, count(*) AS edges FROM seeds s JOIN adj a ON a.node = s.name GROUP BY s.name, s.rank")
 def seed_filter_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the seeds only, keeping the seeds' ranks."""
-    a = G.adjacency(V.edges(spark, d)).select(F.col("node").alias("name")).join(F.broadcast(_seeds(spark, d)), "name")  # sixty rows
+    a = G.adjacency(V.edges(spark, d)).select(F.col("node").alias("name")).join(_seeds(spark, d), "name")  # sixty rows
     return a.groupBy("name", F.col("rank").cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -95,7 +95,7 @@ FROM seeds s JOIN mentions m USING (name) JOIN chunks c ON c.id = m.chunk_id GRO
 
 
 def _structural(spark: SparkSession, d: str) -> DataFrame:
-    m = V.mentions(spark, d).join(F.broadcast(_seeds(spark, d)), "name")  # sixty rows
+    m = V.mentions(spark, d).join(_seeds(spark, d), "name")  # sixty rows
     by = m.groupBy("chunk_id").agg(F.count_distinct("rank").alias("seed_mentions"), F.min("rank").cast("bigint").alias("best_seed_rank"))
     return V.chunks(spark, d).join(by, F.expr("id = chunk_id")).select("id", "document", "chunk_index", "text", "seed_mentions", "best_seed_rank")
 
@@ -165,11 +165,11 @@ def community_prompt_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT c.id, s.name FROM chunks c, seed_entity s WHERE length(s.name) >= 3 AND regexp_matches(c.text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(s.name) || '([^\\p{{L}}\\p{{N}}_]|$)')")
 def name_pattern_match(spark: SparkSession, d: str) -> DataFrame:
-    """Word-bounded occurrences of the seeds' names, whatever their case (sixty fixed patterns, broadcast)."""
+    """Word-bounded occurrences of the seeds' names, whatever their case (sixty fixed patterns)."""
     s = load(spark, d, "seed_entity", "name").where("length(name) >= 3").withColumn("pattern", F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}_])"), F.regexp_replace("name", r"([^\p{L}\p{N} ])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])")))
     # the substring test is cheap and drops nearly all pairs before a pattern runs
     near = F.expr("contains(lower(text), lower(name))")
-    return V.chunks(spark, d).select("id", "text").join(F.broadcast(s), near).where(F.expr("text rlike pattern")).select("id", "name")
+    return V.chunks(spark, d).select("id", "text").join(s, near).where(F.expr("text rlike pattern")).select("id", "name")
 
 
 @query(f"WITH {NODES}, {MENTIONS}, {CHUNKS} SELECT DISTINCT m.name, m.chunk_id FROM mentions m WHERE m.name IN (SELECT name FROM nodes) AND m.chunk_id IN (SELECT id FROM chunks)")

@@ -235,7 +235,7 @@ def theme_schema_lookup(spark: SparkSession, d: str) -> DataFrame:
 
     t = theme_table(spark).select("theme", F.size("entities").alias("n"))
     docs = load(spark, d, "documents", "doc_id", "theme").withColumnRenamed("theme", "own")
-    j = docs.join(F.broadcast(t), F.col("own") == F.col("theme"), "left")  # five themes
+    j = docs.join(t, F.col("own") == F.col("theme"), "left")  # five themes
     return j.select("doc_id", F.coalesce("theme", F.lit("Generic")).alias("theme"), F.coalesce("n", F.lit(6)).alias("entity_types"))
 
 

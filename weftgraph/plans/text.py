@@ -195,7 +195,7 @@ _MODELS = "(VALUES ('alpha-2024'), ('alpha-mini-3'), ('beta'), ('gamma')) m(name
 def cost_price_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Price of a model: the longest key its name begins with; none is unpriced."""
     p, m = spark.sql(f"SELECT model, CAST(usd AS DOUBLE) usd FROM {_PRICES.replace(' p(', ' AS p(')}"), spark.sql(f"SELECT * FROM {_MODELS.replace(' m(', ' AS m(')}")
-    return m.join(F.broadcast(p), F.expr("startswith(name, model)"), "left").groupBy("name").agg(F.max_by("usd", F.length("model")).alias("usd"))  # a price list
+    return m.join(p, F.expr("startswith(name, model)"), "left").groupBy("name").agg(F.max_by("usd", F.length("model")).alias("usd"))  # a price list
 
 
 @query("""WITH l AS (SELECT coalesce(theme, 'none') AS ledger, sum(CAST(ceil(n_chars / 4.0) AS BIGINT)) AS tokens, CASE WHEN theme IS NULL THEN NULL ELSE round(sum(CAST(ceil(n_chars / 4.0) AS BIGINT)) * 2.0 / 1000000, 6) END AS usd FROM documents GROUP BY theme)
