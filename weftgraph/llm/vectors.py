@@ -297,7 +297,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(base), vec], names=["bucket", "id", "base", "vec"])
 
     # as many partitions as the buckets need, whatever the session's default
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index["buckets"] // 2))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), index["buckets"])
     routed = tagged.mapInArrow(route, "bucket bigint, id bigint, base boolean, vec binary").repartition(parts, "bucket")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
