@@ -68,3 +68,17 @@ def test_empty_table(spark):
 def test_pairs(spark):
     g = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, 6)], "rec bigint, grp bigint")
     assert sorted(map(tuple, N.same_name_pairs(g).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_large_blocks_lose_no_pair(spark, monkeypatch):
+    """One hot token beside many others: an initial, an order, a dropped token and typos at the beginning still meet."""
+    ends = ["bako", "celu", "dimo", "fuga", "golu", "hari", "jobe", "kuza"]
+    forms = [(f"{a}{b} smithson|john||", 9) for a in ends for b in ends[:3]]
+    forms += [("smithson|| j |".replace(" ", ""), 1), ("smithson bakobako|john||", 1), ("bakoeblu smithson|john||", 1), ("abkobako smithson|john||", 1), ("celucelu smithsno|john||", 1), ("smithson|john||", 1), ("smithson|john/joseph||", 1)]
+    df = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(forms)], "id bigint, typed string, freq bigint")
+    monkeypatch.setattr(N, "BLOCK", 10**6)
+    want = {tuple(r) for r in N.attach(df).collect()}
+    assert len({a for a, _ in want} & set(range(24, 31))) >= 6
+    for block in (1, 3, 7):
+        monkeypatch.setattr(N, "BLOCK", block)
+        assert {tuple(r) for r in N.attach(df).collect()} == want

@@ -15,7 +15,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import contract
@@ -64,7 +64,7 @@ SHARE, LEAST_NAMES, LEAST_COMPANY = 0.001, 4, 4
 LAMBDA = 3.0
 COST = {"edit": 1.0, "initial": 0.5, "short": 0.5, "dropped": 1.5, "class_dropped": 3.5}
 MOST_COST = 3.0
-#: Blocks with more spellings than this are split by class and the other core token.
+#: Blocks with more spellings than this are cut into parts, and part meets part: the pairs are the same, the tasks smaller.
 BLOCK = 400
 
 _MARKS = "\"'“”„‘’«»‹›`´"
@@ -372,6 +372,24 @@ def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[Data
     return recs.select("rec", "norm", "is_name").distinct(), forms
 
 
+def in_parts(block: DataFrame) -> DataFrame:
+    """Rows of large blocks (``key, id, w``) under finer keys with their roles ``as_v`` and ``as_c``; no pair is lost.
+
+    Spellings of fixed words meet those of the same words; those with loose words (0) meet all. What is still large is
+    cut into parts by id, and every part as variants meets every part as candidates.
+    """
+    same, loose_v, loose_c = F.xxhash64("key", F.lit(1), "w"), F.xxhash64("key", F.lit(2)), F.xxhash64("key", F.lit(3))
+    role = lambda key, as_v, as_c: F.struct(key.alias("sub"), F.lit(as_v).alias("as_v"), F.lit(as_c).alias("as_c"))
+    fixed = F.array(role(same, True, True), role(loose_v, False, True), role(loose_c, True, False))
+    loose = F.array(role(loose_v, True, True), role(loose_c, False, True))
+    subs = block.select("id", "w", F.explode(F.when(F.col("w") == 0, loose).otherwise(fixed)).alias("s")).select("id", "w", "s.*")
+    subs = subs.withColumn("m", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sub")) / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), "m"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))
+    as_v = subs.where("as_v").select("*", other.alias("o")).select(F.xxhash64("sub", "part", "o").alias("key"), "id", "w", F.lit(True).alias("as_v"), F.lit(False).alias("as_c"))
+    as_c = subs.where("as_c").select("*", other.alias("o")).select(F.xxhash64("sub", "o", "part").alias("key"), "id", "w", F.lit(False).alias("as_v"), F.lit(True).alias("as_c"))
+    return as_v.unionByName(as_c)
+
+
 def attach(forms: DataFrame) -> DataFrame:
     """``a``, ``b``: every form with its canonical form of maximum posterior, where one is likely enough."""
 
@@ -392,10 +410,9 @@ def attach(forms: DataFrame) -> DataFrame:
     block = cut(keyed.join(sizes.select("key", "n"), "key"))
     said = F.size(F.split(F.regexp_replace(F.regexp_replace("typed", r"\|[^|]*\|[^|]*$", ""), r"\|", " "), " "))
     info = cut(forms.select("id", "freq", "typed", said.alias("words")))
-    small = block.where(F.col("n") <= BLOCK).select("key", "id", "w")
-    finer = F.xxhash64("key", F.substring(part[1], 1, 3), F.substring(F.element_at(F.split(part[0], " "), -1), 1, 2))
-    split = small.unionByName(block.where(F.col("n") > BLOCK).join(info, "id").select(finer.alias("key"), "id", "w"))
-    v, c = split.toDF("key", "v", "wv"), split.toDF("key", "c", "wc")
+    small = block.where(F.col("n") <= BLOCK).select("key", "id", "w", F.lit(True).alias("as_v"), F.lit(True).alias("as_c"))
+    split = small.unionByName(in_parts(block.where(F.col("n") > BLOCK)))
+    v, c = split.where("as_v").select("key", F.col("id").alias("v"), F.col("w").alias("wv")), split.where("as_c").select("key", F.col("id").alias("c"), F.col("w").alias("wc"))
     pairs = v.join(c, "key").where("v <> c and (wv = wc or wv = 0 or wc = 0)").select("v", "c").distinct()
     of_v, of_c = info.select(F.col("id").alias("v"), F.col("freq").alias("vf"), F.col("typed").alias("vt"), F.col("words").alias("vw")), info.select(F.col("id").alias("c"), "freq", F.col("typed").alias("ct"), F.col("words").alias("cw"))
     # a candidate is at least as frequent as the variant, or says more
