@@ -82,3 +82,19 @@ def test_large_blocks_lose_no_pair(spark, monkeypatch):
     for block in (1, 3, 7):
         monkeypatch.setattr(N, "BLOCK", block)
         assert {tuple(r) for r in N.attach(df).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("K. Lorvuki", "Kunigunde Lorvuki"),
+        ("William A. Xyzabcon", "William Anthony Xyzabcon"),
+        ("A. William Xyzabcon", "William Anthony Xyzabcon"),
+        ("William Xyzabcon", "William Xyzabcn"),
+    ],
+)
+def test_initials_meet_the_names_they_stand_for(spark, a, b):
+    ends = ["bako", "celu", "dimo", "fuga", "golu", "hari", "jobe", "kuza"]
+    rows = [(100 + i, f"{w} {x}{x[::-1]}rum", None, i, "") for i, (w, x) in enumerate((w, x) for w in ("William", "Anthony") for x in ends)]
+    got = groups(spark, [(1, a, None, 0, ""), (2, b, None, 0, ""), (3, b, None, 0, ""), *rows])
+    assert [1, 2, 3] in got and len(got) == 17

@@ -200,20 +200,23 @@ def deletions(t: str) -> set[str]:
     return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
 
 
-def block_keys(core: list[str], sig: list[str], ini: list[str], num: str) -> list[str]:
-    """Keys under which a spelling meets those within one edit of one of its core tokens, or of them joined.
+def block_keys(core: list[str], sig: list[str], ini: list[str], num: str) -> tuple[list[str], list[str]]:
+    """Keys under which a spelling meets those within one edit of one of its core tokens, or of them joined: as a
+    candidate, and those it has as a variant only.
 
-    Words must agree, but for short forms and initials, which begin alike: so the first letter is part of the key."""
-    keys: set[str] = set()
-    first = sig[0][:1] if sig else ini[0] if ini else ""
+    A candidate shows the letter of its first word, or none. A variant must have that word, a short form or an initial
+    of it, so it looks under the letters of all its words and initials, and under none if it has no word."""
+    stems: set[tuple[str, str]] = set()
     for t in sorted(core, key=lambda t: (-len(t), t))[:3]:
-        keys |= {f"a{num}|{first}|{d}" for d in deletions(t)}
+        stems |= {("a", d) for d in deletions(t)}
     joined = "".join(core)
     if len(core) == 1 and len(joined) >= 9:
-        keys |= {f"c{num}|{first}|{d}" for d in deletions(joined)}
+        stems |= {("c", d) for d in deletions(joined)}
     elif len(core) == 2:
-        keys |= {f"c{num}|{first}|{d}" for d in deletions(joined)} | {f"c{num}|{first}|{core[1]}{core[0]}"}
-    return sorted(keys)
+        stems |= {("c", d) for d in deletions(joined)} | {("c", f"{core[1]}{core[0]}")}
+    first = sig[0][:1] if sig else ""
+    letters = {w[:1] for w in [*sig, *ini]} - {first}
+    return sorted(f"{k}{num}|{first}|{d}" for k, d in stems), sorted(f"{k}{num}|{x}|{d}" for k, d in stems for x in letters)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -373,13 +376,13 @@ def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[Data
 
 
 def in_parts(block: DataFrame) -> DataFrame:
-    """Rows of large blocks (``key, id, w``) under finer keys with their roles ``as_v`` and ``as_c``; no pair is lost.
+    """Rows of large blocks (``key, id, w, as_c``) under finer keys with their roles ``as_v`` and ``as_c``; no pair is lost.
 
     Spellings of fixed words meet those of the same words; those with loose words (0) meet all. What is still large is
     cut into parts by id, and every part as variants meets every part as candidates.
     """
     same, loose_v, loose_c = F.xxhash64("key", F.lit(1), "w"), F.xxhash64("key", F.lit(2)), F.xxhash64("key", F.lit(3))
-    role = lambda key, as_v, as_c: F.struct(key.alias("sub"), F.lit(as_v).alias("as_v"), F.lit(as_c).alias("as_c"))
+    role = lambda key, as_v, as_c: F.struct(key.alias("sub"), F.lit(as_v).alias("as_v"), (F.lit(as_c) & F.col("as_c")).alias("as_c"))
     fixed = F.array(role(same, True, True), role(loose_v, False, True), role(loose_c, True, False))
     loose = F.array(role(loose_v, True, True), role(loose_c, False, True))
     subs = block.select("id", "w", F.explode(F.when(F.col("w") == 0, loose).otherwise(fixed)).alias("s")).select("id", "w", "s.*")
@@ -397,7 +400,8 @@ def attach(forms: DataFrame) -> DataFrame:
     def keys(typed: pd.Series) -> pd.Series:
         out = []
         for s in typed:
-            out.append(block_keys(*_unpack(s)))
+            both, more = block_keys(*_unpack(s))
+            out.append(both + ["~" + k for k in more])  # marked: as a variant only
         return pd.Series(out)
 
     # words must agree, so their hash goes along; 0 where short forms or initials may still stand for others
@@ -405,12 +409,12 @@ def attach(forms: DataFrame) -> DataFrame:
     loose = part[1].contains("/") | (part[2] != "")
     words = F.when(loose, F.lit(0)).otherwise(F.hash(part[1]))
     # one shuffle serves the sizes and the rows, as both read all its columns
-    keyed = forms.select("id", words.alias("w"), F.explode(keys("typed")).alias("key")).select(F.xxhash64("key").alias("key"), "id", "w").repartition("key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("any")).where("lo <> hi and any is not null")
+    keyed = forms.select("id", words.alias("w"), F.explode(keys("typed")).alias("k")).select(F.xxhash64(F.ltrim("k", F.lit("~"))).alias("key"), "id", "w", (~F.col("k").startswith("~")).alias("as_c")).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("any"), F.max("as_c").alias("met")).where("lo <> hi and any is not null and met")
     block = cut(keyed.join(sizes.select("key", "n"), "key"))
     said = F.size(F.split(F.regexp_replace(F.regexp_replace("typed", r"\|[^|]*\|[^|]*$", ""), r"\|", " "), " "))
     info = cut(forms.select("id", "freq", "typed", said.alias("words")))
-    small = block.where(F.col("n") <= BLOCK).select("key", "id", "w", F.lit(True).alias("as_v"), F.lit(True).alias("as_c"))
+    small = block.where(F.col("n") <= BLOCK).select("key", "id", "w", F.lit(True).alias("as_v"), "as_c")
     split = small.unionByName(in_parts(block.where(F.col("n") > BLOCK)))
     v, c = split.where("as_v").select("key", F.col("id").alias("v"), F.col("w").alias("wv")), split.where("as_c").select("key", F.col("id").alias("c"), F.col("w").alias("wc"))
     pairs = v.join(c, "key").where("v <> c and (wv = wc or wv = 0 or wc = 0)").select("v", "c").distinct()
