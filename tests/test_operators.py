@@ -177,3 +177,47 @@ def test_streams(spark):
     assert {r["event_id"]: r["processed"] for r in J.progress(e, "user_id", "ts", "event_id").collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
     f = J.frames(e.limit(1), "event_id").unionByName(spark.createDataFrame([("data: {oops",), ("",)], "frame string"))
     assert len(J.read_frames(f, "frame", "event_id bigint").collect()) == 1
+
+
+def _named(n, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows, base = [], rng.normal(size=(n, 8))
+    for i in range(n):
+        name = "".join(rng.choice(list("abdeilmnorst"), 7)) + " " + rng.choice(["Élan", "group", "östlich"])
+        for j, (form, kind) in enumerate([(name, "Org"), (f" {name[:3]}{name[4:]} ", "ORG "), (name + "s", None), (" ".join(reversed(name.split())), "org"), (name[1:], "")]):
+            v = base[i] + 0.12 * j * rng.normal(size=8)
+            rows.append((10 * i + j, form, kind, None if j == 4 and i % 3 == 0 else [float(x) for x in v]))
+    return rows
+
+
+def _brute_duplicates(rows):
+    import numpy as np
+
+    from weftgraph.functions.pyfuncs import unicode_tokens
+
+    first = {}
+    for _, n, k, v in sorted(rows, key=lambda r: r[0]):
+        if n is not None and n.strip():
+            first.setdefault(n.strip(), ((k or "").strip().upper() or "UNKNOWN", v))
+    out = set()
+    for a in first:
+        for b in first:
+            (ka, va), (kb, vb) = first[a], first[b]
+            if a < b and ka == kb and va and vb and {t[0] for t in unicode_tokens(a)} & {t[0] for t in unicode_tokens(b)}:
+                x, y = np.array(va), np.array(vb)
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93 and ratio(a, b) >= 0.87:
+                    out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("part", [4096, 7])
+def test_duplicate_pairs_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(S, "PART_ROWS", part)
+    rows = _named(40, 3)
+    rows += [(9000, rows[0][1], "PERSON", rows[5][3]), rows[0], (9001, None, "Org", rows[0][3]), (9002, "  ", "Org", rows[0][3])]
+    df = spark.createDataFrame(rows, "rec bigint, nm string, ty string, em array<double>")
+    got = [(r["left"], r["right"]) for r in S.duplicate_pairs(df, "rec", "nm", "ty", "em", 8).collect()]
+    want = _brute_duplicates(rows)
+    assert len(want) >= 20 and sorted(got) == sorted(want)

@@ -92,3 +92,13 @@ def name_similarity():
         return pd.Series([ratio(*sorted((x or "", y or ""))) for x, y in zip(a, b, strict=True)])
 
     return similarity
+
+
+def name_block_keys():
+    """UDF name -> sorted first characters of its tokens, for names in any script."""
+
+    @F.pandas_udf("array<string>")
+    def keys(names: pd.Series) -> pd.Series:
+        return pd.Series([sorted({t[0] for t in unicode_tokens(n)}) for n in names])
+
+    return keys

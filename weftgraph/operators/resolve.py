@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import block_keys
+from weftgraph.functions.pyfuncs import name_block_keys, name_similarity
+from weftgraph.functions.text import block_keys, entity_type
 from weftgraph.functions.vectors import usable_vector
+from weftgraph.runtime import cut
 
 NAME_THRESHOLD, COSINE_THRESHOLD = 0.87, 0.93
+#: Groups of more rows are cut into parts of about so many, and part meets part.
+PART_ROWS = 4096
 
 
 def blocked_pairs(df: DataFrame, name: str, kind: str) -> DataFrame:
@@ -60,6 +64,66 @@ def within_groups(df: DataFrame, id_col: str, vec: str, group: str, dim: int, le
     return pairs.mapInPandas(meet, "left bigint, right bigint, cosine double")
 
 
+def close_in_groups(df: DataFrame, least: float) -> DataFrame:
+    """``left``, ``right``, ``cosine``: pairs of ids of one group (``g, id, v``) with a cosine of at least ``least``, not
+    rounded. Every pair of a group is compared; two parts of a large group meet in one cell, cells are spread over the tasks."""
+    counts = df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS).select("g", F.ceil(F.col("n") / PART_ROWS).alias("m"))
+    parted = df.join(counts, "g", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("id"), "m"))
+    cells = parted.select(F.explode(F.expr("transform(sequence(0L, m - 1), o -> struct(least(p, o) as i, greatest(p, o) as j))")).alias("c"), "g", "p", "id", "v")
+    cells = cells.select(F.xxhash64("g", "c.i", "c.j").alias("cell"), F.expr("c.i = c.j").alias("same"), (F.col("p") == F.col("c.i")).alias("low"), "id", "v")
+
+    def meet(ids, vecs, low, same):
+        x = np.array(vecs, np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids, low = np.asarray(ids, np.int64), np.asarray(low, bool)
+        a, b = (np.arange(len(ids)),) * 2 if same else (np.nonzero(low)[0], np.nonzero(~low)[0])
+        for at in range(0, len(a), 1024):
+            r = a[at : at + 1024]
+            s = x[r] @ x[b].T
+            i, j = np.nonzero((s >= least) & ((r[:, None] < b[None, :]) if same else np.ones(s.shape, bool)))
+            left, right = ids[r[i]], ids[b[j]]
+            yield pd.DataFrame({"left": np.minimum(left, right), "right": np.maximum(left, right), "cosine": s[i, j]})
+
+    def scan(frames):
+        cell, same, held = None, True, ([], [], [])
+        for pdf in frames:  # sorted, so the rows of a cell follow one another
+            at = np.nonzero(np.diff(pdf["cell"].to_numpy()))[0] + 1
+            for lo, hi in zip([0, *at], [*at, len(pdf)], strict=True):
+                part = pdf.iloc[lo:hi]
+                if not len(part):
+                    continue
+                if part["cell"].iloc[0] != cell:
+                    if len(held[0]) > 1:
+                        yield from meet(*held, same)
+                    cell, same, held = part["cell"].iloc[0], bool(part["same"].iloc[0]), ([], [], [])
+                for h, c in zip(held, ("id", "v", "low"), strict=True):
+                    h.extend(part[c])
+        if len(held[0]) > 1:
+            yield from meet(*held, same)
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(scan, "left bigint, right bigint, cosine double")
+
+
+def duplicate_pairs(df: DataFrame, record: str, name: str, kind: str, vec: str, dim: int) -> DataFrame:
+    """``left``, ``right``, ``kind``, ``cosine``, ``similarity``: different names of one type that share a block key, with a
+    cosine of at least COSINE_THRESHOLD and a name similarity of at least NAME_THRESHOLD; the smaller name first, once each.
+
+    A name is one record, with the type and the vector of its row of smallest ``record``; without a usable vector there it
+    is in no pair. Names are trimmed, as in the graph view. The cosine is applied where blocks meet, so only pairs
+    above it come out of a block; every pair of a block is compared.
+    """
+    rows = df.select(record, F.trim(name).alias("name"), entity_type(F.col(kind)).alias("kind"), F.struct(vec).alias("v")).where("name <> ''")
+    rows = rows.groupBy("name").agg(F.min_by(F.struct("kind", "v"), F.struct(record, F.xxhash64("kind", "v"))).alias("r"))
+    rows = rows.select("name", "r.kind", F.col(f"r.v.{vec}").alias("v")).where(usable_vector(F.col("v"), dim))
+    names = cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    keyed = names.select("id", "v", F.col("kind"), F.explode(name_block_keys()("name")).alias("key")).select("id", "v", F.concat_ws("\x1f", "kind", "key").alias("g"))
+    near = close_in_groups(keyed, COSINE_THRESHOLD)
+    near = near.groupBy("left", "right").agg(F.max("cosine").alias("cosine"))
+    a, b = names.select(F.col("id").alias("left"), F.col("name").alias("a"), "kind"), names.select(F.col("id").alias("right"), F.col("name").alias("b"))
+    pairs = near.join(a, "left").join(b, "right").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "kind", "cosine")
+    return pairs.withColumn("similarity", name_similarity()("left", "right")).where(F.col("similarity") >= NAME_THRESHOLD)
+
+
 def canonical_key(name: Column) -> Column:
     """Order of canonical names: the longest, then that of most words, then the first by code points."""
     n = F.trim(name)

@@ -95,6 +95,18 @@ def er_block_pairs(spark: SparkSession, d: str) -> DataFrame:
     return R.blocked_pairs(s, "name", "kind").select(F.col("left").alias("left_name"), F.col("right").alias("right_name"))
 
 
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "entity", "entity_id", "name", "type", "embedding")
+    return R.duplicate_pairs(e, "entity_id", "name", "type", "embedding", 64)
+
+
+@query()
+def er_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entity names of one type that share a block key and meet both thresholds."""
+    p = _duplicates(spark, d)
+    return p.select(F.col("left").alias("left_name"), F.col("right").alias("right_name"), "kind", F.round("cosine", 6).alias("cosine"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT DISTINCT trim(name) AS name, regexp_replace(lower(trim(name)), '[^a-z0-9_]', '', 'g') AS norm, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(trim(name)), '[^a-z0-9_]', ' ', 'g'), ' +'), lambda x: x <> ''), ' ') AS tokens FROM entity WHERE trim(name) <> ''")
 def name_norm_tokens(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "entity", "name").select(F.trim("name").alias("name")).where("name <> ''").distinct()
