@@ -221,3 +221,19 @@ def test_duplicate_pairs_against_brute_force(spark, monkeypatch, part):
     got = [(r["left"], r["right"]) for r in S.duplicate_pairs(df, "rec", "nm", "ty", "em", 8).collect()]
     want = _brute_duplicates(rows)
     assert len(want) >= 20 and sorted(got) == sorted(want)
+
+
+def test_duplicates_with_other_spellings_are_merged(spark):
+    rows = _named(40, 5)
+    df = spark.createDataFrame(rows, "rec bigint, nm string, ty string, em array<double>")
+    pairs = S.duplicate_pairs(df, "rec", "nm", "ty", "em", 8)
+    group = {n: {n} for p in _brute_duplicates(rows) for n in p}
+    for a, b in _brute_duplicates(rows):
+        both = group[a] | group[b]
+        group |= dict.fromkeys(both, both)
+    want = {(n, min(g, key=lambda x: (-len(x), -len(x.split()), x))) for n, g in group.items()}
+    want = {(n, c) for n, c in want if n != c}
+    assert {tuple(r) for r in S.duplicate_aliases(pairs).collect()} == want and len(want) > 20
+    name, canonical = sorted(want)[0]
+    edges = spark.createDataFrame([(name, "other", "R"), (canonical, "other", "R"), (name, canonical, "R")], "source string, target string, rel_type string")
+    assert [tuple(r) for r in S.rewrite_edges(edges, S.duplicate_aliases(pairs)).collect()] == [(canonical, "other", "R")]

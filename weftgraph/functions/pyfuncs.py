@@ -102,3 +102,13 @@ def name_block_keys():
         return pd.Series([sorted({t[0] for t in unicode_tokens(n)}) for n in names])
 
     return keys
+
+
+def name_words():
+    """UDF name -> number of its words without punctuation."""
+
+    @F.pandas_udf("int")
+    def words(names: pd.Series) -> pd.Series:
+        return pd.Series([len(unicode_tokens(n)) for n in names])
+
+    return words

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.pyfuncs import name_block_keys, name_similarity
+from weftgraph.functions.pyfuncs import name_block_keys, name_similarity, name_words
 from weftgraph.functions.text import block_keys, entity_type
 from weftgraph.functions.vectors import usable_vector
+from weftgraph.operators.graph import connected_components
 from weftgraph.runtime import cut
 
 NAME_THRESHOLD, COSINE_THRESHOLD = 0.87, 0.93
@@ -130,6 +131,17 @@ def canonical_key(name: Column) -> Column:
     return F.struct((-F.length(n)).alias("a"), (-F.size(F.split(n, r"(?U)\s+"))).alias("b"), name.alias("c"))
 
 
+def duplicate_aliases(pairs: DataFrame) -> DataFrame:
+    """``name``, ``canonical`` of every name of ``pairs`` (``left``, ``right``) that is not its cluster's canonical name.
+
+    Clusters are the connected components; canonical is the longest name, then that of most words, then the first.
+    """
+    comp = connected_components(cut(pairs.select(F.col("left").alias("a"), F.col("right").alias("b"))))
+    member = cut(comp.select("component", F.col("node").alias("name")).withColumn("words", name_words()("name")))
+    best = member.groupBy("component").agg(F.min_by("name", F.struct((-F.length("name")).alias("a"), (-F.col("words")).alias("b"), F.col("name").alias("c"))).alias("canonical"))
+    return member.join(best, "component").where("name <> canonical").select("name", "canonical")
+
+
 def clusters(member: DataFrame, component: str, name: str) -> DataFrame:
     """``component``, ``canonical``, ``size``, ``members`` joined by a bar (canonical first, the others sorted); two names or more."""
     g = member.groupBy(component).agg(F.min_by(name, canonical_key(F.col(name))).alias("canonical"), F.count_distinct(name).alias("size"), F.array_sort(F.collect_set(name)).alias("all"))

@@ -107,6 +107,20 @@ def er_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("left").alias("left_name"), F.col("right").alias("right_name"), "kind", F.round("cosine", 6).alias("cosine"), F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def er_duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of duplicate names: canonical first in ``members``, the others sorted."""
+    a = R.duplicate_aliases(_duplicates(spark, d))
+    g = a.groupBy("canonical").agg((F.count(F.lit(1)) + 1).alias("size"), F.array_sort(F.collect_list("name")).alias("others"))
+    return g.select("canonical", "size", F.concat_ws("|", "canonical", F.array_join("others", "|")).alias("members"))
+
+
+@query()
+def er_duplicate_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the graph view with the duplicates merged into their canonical names."""
+    return R.rewrite_edges(V.edges(spark, d), R.duplicate_aliases(_duplicates(spark, d))).withColumnsRenamed({"source": "s", "target": "t"})
+
+
 @query("SELECT DISTINCT trim(name) AS name, regexp_replace(lower(trim(name)), '[^a-z0-9_]', '', 'g') AS norm, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(trim(name)), '[^a-z0-9_]', ' ', 'g'), ' +'), lambda x: x <> ''), ' ') AS tokens FROM entity WHERE trim(name) <> ''")
 def name_norm_tokens(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "entity", "name").select(F.trim("name").alias("name")).where("name <> ''").distinct()
