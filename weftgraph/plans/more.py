@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from weftgraph.plans.resolve import SQL as RESOLVE_SQL
 from weftgraph.plans.resolve import vec_topk_batch
 from weftgraph.plans.score import _channels, _CHAN, _facts, _FACTS, _records
 from weftgraph.plans.text import _stem_sql
-from weftgraph.runtime import shared_folder
+from weftgraph.runtime import own_table
 from weftgraph.sources import graphview as V
 from weftgraph.sources.tables import load
 
@@ -55,7 +54,7 @@ def chunk_store_twice(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_COM} SELECT 'full' AS step, count(*) AS rows FROM com UNION ALL SELECT 'failed read', count(*) FROM com UNION ALL SELECT 'empty result', 0 UNION ALL SELECT 'rebuilt', count(*) FROM com UNION ALL SELECT 'cleared', 0")
 def label_wipe_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the stored communities after a rebuild, a failed read, an empty result, another rebuild, a wipe."""
-    path, schema = f"{shared_folder(spark)}/weftgraph-store/{uuid.uuid4().hex}", "community string, size bigint"
+    path, schema = own_table(spark, "store"), "community string, size bigint"
     rows = _communities(spark, d).select("community", "size")
     steps = [("full", lambda: S.replace_table(spark, path, rows, schema)), ("failed read", lambda: S.replace_table(spark, path, None, schema)), ("empty result", lambda: S.replace_table(spark, path, rows.limit(0), schema)), ("rebuilt", lambda: S.replace_table(spark, path, rows, schema)), ("cleared", lambda: S.clear_table(spark, path, schema))]
     counts = []

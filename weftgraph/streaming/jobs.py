@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import shared_folder
+from weftgraph.runtime import own_table
 
 TERMINAL = ("error", "purchase")
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -63,7 +62,7 @@ def stream_until_terminal(spark: SparkSession, folder: str, terminal: tuple[str,
         yield pdf[["event_id", "user_id", "event_type"]]
 
     out = events.groupBy("user_id").applyInPandasWithState(run, "event_id bigint, user_id bigint, event_type string", "ended boolean", "append", "NoTimeout")
-    at = f"{shared_folder(spark)}/weftgraph-stream/{uuid.uuid4().hex}"
+    at = own_table(spark, "stream")
     q = out.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{at}/rows")
