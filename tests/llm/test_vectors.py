@@ -60,6 +60,8 @@ def test_a_third_of_all_rows_is_one_vector(spark, monkeypatch):
 def test_heavy_lists_are_spread(spark, monkeypatch):
     monkeypatch.setattr(V, "BUCKET_ROWS", 20)
     monkeypatch.setattr(V, "MAX_LISTS", 4)
+    monkeypatch.setattr(V, "LIST_ROWS", 10)
+    monkeypatch.setattr(V, "SAMPLE_PER_LIST", 100)
     rows = clustered(400, 3)
     want, got = brute(rows, 3, 0.85), run(spark, rows, 3, 0.85)
     assert len(want & got) / len(want) >= 0.9
@@ -85,3 +87,32 @@ def test_empty_and_single(spark):
 def test_clashing_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, [1.0] * 8, 5, "x", 0.1), (2, [1.0] * 8, 6, "y", 0.2)], "key bigint, emb array<float>, id bigint, bucket string, cosine double")
     assert {(r["id"], r["other"]) for r in V.similar_vectors(df, "key", "emb", 8, 2).collect()} == {(1, 2), (2, 1)}
+
+
+def test_lists_grow_with_the_rows():
+    """Rows a list and copies a row stay within bounds from a million to four thousand million rows."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(500, 16))
+    draw = lambda n: centres[rng.integers(0, 500, n)] + 0.6 * rng.normal(size=(n, 16))
+    for rows in (10**6, 10**7, 10**8, 10**9):
+        index = V.train(draw(V.SAMPLE_PER_LIST * V._coarse_lists(rows)), rows)
+        assert 256 <= rows / index["offset"][-1] <= 1024
+        assert rows / index["buckets"] <= 2 * V.BUCKET_ROWS
+        x = draw(1000)
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        probes = V._probes(x, index, 8, 0.25)
+        row, to, home, ends, lists = V._routes(index, probes)
+        assert home.sum() == len(x) and len(row) <= 8 * len(x) and ends[-1] == len(lists)
+        assert (probes >= 0).all() and (probes < index["offset"][-1]).all() and to.max() < index["buckets"]
+        per_bucket = np.bincount(V._bucket(index, probes[:, 0]), minlength=index["buckets"]) / len(x)
+        assert rows < 10**8 or per_bucket.max() < 0.02  # no bucket holds a great share
+
+
+def test_cells_divide_a_list_of_near_copies():
+    """A third of all rows within a tight group still lies in lists of bounded size."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(8000, 16)), np.ones(16) + 0.01 * rng.normal(size=(4000, 16))])
+    index = V.train(x[rng.choice(len(x), 4000, replace=False)], 3_000_000)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    own = V._probes(u, index, 1, 0.0)[:, 0]
+    assert np.bincount(own).max() * 3_000_000 / len(x) < 40 * V.LIST_ROWS

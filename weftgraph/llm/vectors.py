@@ -1,14 +1,17 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, exact reranking.
 
-Index: coarse centroids by k-means on a bounded sample; every vector belongs to the list of its nearest centroid.
-Lists are gathered into buckets of about BUCKET_ROWS vectors, neighbouring lists together (recursive bisection of the
-centroids along their main axis), so that the lists a vector probes lie in few buckets. One shuffle sends each vector to
-its home bucket and, as a query, to the other buckets that hold one of its probes. A bucket's task encodes the residuals
-of its members with product quantisers, scans the probed lists with asymmetric distance tables and reranks the best
-candidates exactly, in double precision, against the vectors that lie in the same bucket. A last shuffle merges the few
-results per vector and bucket.
-
-Every row is indexed; only centroids and quantisers are fitted on the sample (SAMPLE rows).
+Index: coarse centroids by k-means on a bounded sample. Their number grows with the rows up to MAX_LISTS; from there on a
+list is divided by the residual: every vector belongs to the nearest cell of a codebook of residuals that all lists share
+(scaled by the list's own spread), with as many cells as bring a list back to LIST_ROWS vectors. So the centroids that have
+to be kept are bounded while the lists go on growing with the rows, and a vector probes a constant number of lists.
+Lists are gathered into buckets, neighbours together (recursive bisection along the main axis), so that the lists a vector
+probes lie in few buckets. One shuffle sends each vector to its home bucket and, as a query, to the other buckets that
+hold one of its probes. A bucket's task encodes the residuals of its members with product quantisers, scans the probed
+lists with asymmetric distance tables and reranks the best candidates exactly, in double precision, against the vectors
+that lie in the same bucket. A last shuffle merges the few results per vector and bucket; a pair that one of its vectors
+has found counts for the other too.
+
+Every row is indexed; only centroids, cells and quantisers are fitted on the sample.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in the training sample, at most (about).
-SAMPLE = 16_384
-#: Coarse lists, at most.
-MAX_LISTS = 8_192
-BUCKET_ROWS = 8_192
+#: Coarse lists, at most, and vectors of the training sample for each of them (about).
+MAX_LISTS, SAMPLE_PER_LIST = 2_048, 16
+#: A coarse list of more than twice LIST_ROWS vectors is divided into cells of about LIST_ROWS; 2 ** MAX_DEPTH cells at most.
+LIST_ROWS, MAX_DEPTH = 512, 12
+#: Vectors of a bucket: as many as give every partition of the session one, within these bounds.
+BUCKET_LEAST, BUCKET_ROWS = 4_096, 16_384
 #: Vectors whose value occurs more often than max(COPIES_LEAST, rows / COPIES_PARTS) travel once: fewer than COPIES_PARTS.
 COPIES_LEAST, COPIES_PARTS = 256, 1_000
 SUBSPACES, CODES = 8, 256
@@ -73,88 +77,174 @@ def _bisect(c: np.ndarray, weight: np.ndarray, target: float) -> np.ndarray:
     return bucket
 
 
-def train(sample: np.ndarray, rows: int, seed: int = 5) -> dict:
-    """Centroids, buckets of the lists, how many buckets a heavy list is spread over, and residual quantisers."""
+def _coarse_lists(rows: int) -> int:
+    """Twice the root of the rows, as a power of two, up to MAX_LISTS."""
+    return int(min(MAX_LISTS, 2 ** round(math.log2(max(2.0, 2 * math.sqrt(rows))))))
+
+
+def train(sample: np.ndarray, rows: int, bucket_rows: int | None = None, seed: int = 5) -> dict:
+    """Coarse centroids, cells of the heavy lists, the buckets of lists and cells, and residual quantisers."""
     rng = np.random.default_rng(seed)
     x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
-    lists = int(min(MAX_LISTS, max(1, 2 ** round(math.log2(max(2.0, 2 * math.sqrt(rows))))), max(1, len(x) // 8)))
-    c = _kmeans(x, lists, 6, rng)
+    target = BUCKET_ROWS if bucket_rows is None else bucket_rows
+    c = _kmeans(x, min(_coarse_lists(rows), max(1, len(x) // 8)), 6, rng)
     near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
-    weight = (np.bincount(near, minlength=len(c)) + 0.5) * rows / len(x)
-    bucket = _bisect(c, weight, BUCKET_ROWS)
-    splits = np.maximum(1, np.ceil(weight / (2 * BUCKET_ROWS))).astype(np.int32)
+    drawn = np.bincount(near, minlength=len(c))
+    weight = (drawn + 0.5) * rows / len(x)
+    resid = x - c[near]
+    norm2 = (resid * resid).sum(1)
+    spread = np.sqrt((np.bincount(near, norm2, minlength=len(c)) + norm2.mean()) / (drawn + 1)).astype(np.float32)
+    depth = np.where(weight > 2 * LIST_ROWS, np.clip(np.round(np.log2(weight / LIST_ROWS)), 1, MAX_DEPTH), 0).astype(np.int64)
+    scaled = resid / np.maximum(spread[near], 1e-12)[:, None]
+    cells, place = {}, {}
+    for d in sorted(set(depth[depth > 0].tolist())):
+        book = _kmeans(scaled, min(2**d, len(scaled)), 4, rng)
+        book = book[_along_axes(book)]  # neighbouring cells stand side by side
+        share = np.bincount(np.argmax(scaled @ book.T - 0.5 * (book * book).sum(1), axis=1), minlength=len(book)) + 0.5
+        cells[d], place[d] = book, (np.cumsum(share) - share / 2) / share.sum()
+    offset = np.concatenate([[0], np.cumsum([len(cells[d]) if d else 1 for d in depth.tolist()])])
+    bucket = _bisect(c, weight, target).astype(np.int64)
+    parts = np.where(depth > 0, np.maximum(1, np.ceil(weight / target)), 1).astype(np.int64)
+    parts = np.minimum(parts, np.diff(offset))
     first = np.full(len(c), -1, np.int64)
     top = int(bucket.max()) + 1
-    for i in np.nonzero(splits > 1)[0]:  # a heavy list gets buckets of its own
+    for i in np.nonzero(parts > 1)[0]:  # a heavy list gets buckets of its own
         first[i] = top
-        top += int(splits[i])
-    resid = x - c[near]
+        top += int(parts[i])
+    used = np.unique(np.concatenate([bucket[parts == 1], np.arange(int(bucket.max()) + 1, top)]))  # buckets that hold anything
+    index = {"c": c, "spread": spread, "depth": depth, "cells": cells, "place": place, "offset": offset, "parts": parts, "buckets": len(used)}
+    index["bucket"] = np.searchsorted(used, np.where(parts == 1, bucket, used[0]))
+    index["first"] = np.searchsorted(used, np.where(parts > 1, first, used[0]))
+    own = _probes(x, index, 1, 0.0)[:, 0]
+    resid = x - _centres(index, own)
     small = resid[rng.choice(len(resid), size=min(4096, len(resid)), replace=False)]
     width = -(-x.shape[1] // SUBSPACES)
     small = np.pad(small, ((0, 0), (0, width * SUBSPACES - x.shape[1])))
     books = np.stack([np.resize(_kmeans(np.ascontiguousarray(small[:, m * width : (m + 1) * width]), CODES, 4, rng), (CODES, width)) for m in range(SUBSPACES)])
-    return {"c": c, "bucket": bucket.astype(np.int64), "splits": splits, "first": first, "books": books.astype(np.float32), "buckets": top}
-
-
-def _buckets_of(index: dict, home: np.ndarray, probes: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Home bucket of every row and the different other buckets its probes lie in, as arrays (row, bucket)."""
-    split = index["splits"][home] > 1
-    at = np.where(split, index["first"][home] + salt % index["splits"][home], index["bucket"][home])
-    rows, to = [], []
-    plain = index["splits"][probes] == 1
-    r, j = np.nonzero(plain)
-    rows.append(r)
-    to.append(index["bucket"][probes[r, j]])
-    for r, j in zip(*np.nonzero(~plain), strict=True):  # probes of a heavy list go to each of its buckets
-        k = int(index["splits"][probes[r, j]])
-        rows.append(np.full(k, r))
-        to.append(index["first"][probes[r, j]] + np.arange(k))
-    pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(to)], 1), axis=0)
-    pairs = pairs[pairs[:, 1] != at[pairs[:, 0]]]
-    return at, [pairs[:, 0], pairs[:, 1]]
+    return index | {"books": books.astype(np.float32)}
+
+
+def _along_axes(c: np.ndarray) -> np.ndarray:
+    """An order of the rows of ``c`` by recursive bisection along the main axis of each part."""
+    out, stack = [], [np.arange(len(c))]
+    while stack:
+        ix = stack.pop()
+        if len(ix) <= 2:
+            out.append(ix)
+            continue
+        x = c[ix] - c[ix].mean(0)
+        values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
+        order = ix[np.argsort(x @ axes[:, np.argmax(values)], kind="stable")]
+        stack += [order[len(ix) // 2 :], order[: len(ix) // 2]]
+    return np.concatenate(out)
+
+
+def _centres(index: dict, lists: np.ndarray) -> np.ndarray:
+    """Centroids of ``lists``: that of the coarse list, and the cell's where it is divided."""
+    coarse = np.searchsorted(index["offset"], lists, side="right") - 1
+    out = index["c"][coarse].copy()
+    for d, book in index["cells"].items():
+        i = np.nonzero(index["depth"][coarse] == d)[0]
+        out[i] += index["spread"][coarse[i], None] * book[lists[i] - index["offset"][coarse[i]]]
+    return out
+
+
+def _bucket(index: dict, lists: np.ndarray) -> np.ndarray:
+    """Bucket of every one of ``lists``."""
+    coarse = np.searchsorted(index["offset"], lists, side="right") - 1
+    out = index["bucket"][coarse]
+    for d, place in index["place"].items():
+        i = np.nonzero((index["depth"][coarse] == d) & (index["parts"][coarse] > 1))
+        of = coarse[i]
+        out[i] = index["first"][of] + (place[lists[i] - index["offset"][of]] * index["parts"][of]).astype(np.int64)
+    return out
+
+
+def _best_columns(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` highest scores of every row, highest first."""
+    k = min(k, score.shape[1])
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.tile(np.arange(k), (len(score), 1))
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
 
 
 def _probes(x: np.ndarray, index: dict, nprobe: int, drop: float) -> np.ndarray:
     """The ``nprobe`` nearest lists of every row, nearest first; a list much farther than the nearest is replaced by it."""
-    c = index["c"]
+    c, depth = index["c"], index["depth"]
     score = x @ c.T - 0.5 * (c * c).sum(1)
-    k = min(nprobe, len(c))
-    top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+    top = _best_columns(score, nprobe)
     val = np.take_along_axis(score, top, 1)
-    order = np.argsort(-val, axis=1, kind="stable")
-    top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
-    return np.where(val >= val[:, :1] - drop, top, top[:, :1])
-
-
-def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, probes: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (query row, base row): for each query at most ``keep`` per list by asymmetric distance."""
-    c, books = index["c"], index["books"]
+    lists = index["offset"][top]
+    if index["cells"]:
+        # the nearest cells of the coarse lists found, then the best of all
+        n, k = top.shape
+        wide_l, wide_v = np.repeat(lists[:, :, None], nprobe, 2), np.full((n, k, nprobe), -np.inf, np.float32)
+        wide_v[:, :, 0] = val
+        for d, book in index["cells"].items():
+            i, j = np.nonzero((depth[top] == d) & (val >= val[:, :1] - 2 * drop - 1e-6))
+            for a in range(0, len(i), 4096):
+                r, t = i[a : a + 4096], top[i[a : a + 4096], j[a : a + 4096]]
+                sp = index["spread"][t][:, None]
+                s = sp * ((x[r] - c[t]) @ book.T) - 0.5 * sp * sp * (book * book).sum(1)
+                cols = _best_columns(s, nprobe)
+                w = cols.shape[1]
+                wide_l[r, j[a : a + 4096], :w] = index["offset"][t][:, None] + cols
+                wide_v[r, j[a : a + 4096], :w] = val[r, j[a : a + 4096]][:, None] + np.take_along_axis(s, cols, 1)
+            wide_v[(depth[top] == d) & (val < val[:, :1] - 2 * drop - 1e-6)] = -np.inf
+        wide_l, wide_v = wide_l.reshape(n, -1), wide_v.reshape(n, -1)
+        best = _best_columns(wide_v, nprobe)
+        lists, val = np.take_along_axis(wide_l, best, 1), np.take_along_axis(wide_v, best, 1)
+    return np.where(val >= val[:, :1] - drop, lists, lists[:, :1])
+
+
+def _routes(index: dict, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row goes: (row, bucket, whether it is the row's home, offsets into, lists probed there); at home, the
+    row's own list comes first."""
+    n, k = probes.shape
+    kept = np.concatenate([np.ones((n, 1), bool), probes[:, 1:] != probes[:, :1]], 1)
+    r, j = np.nonzero(kept)
+    lists = probes[r, j]
+    to = _bucket(index, lists)
+    home = to[np.nonzero(j == 0)[0]]
+    by = np.lexsort((j, to, r))
+    r, to, lists = r[by], to[by], lists[by]
+    start = np.nonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (to[1:] != to[:-1])]))[0] if len(r) else np.empty(0, np.int64)
+    return r[start], to[start], to[start] == home[r[start]], np.append(start, len(r)), lists
+
+
+def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, r: np.ndarray, lists: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (query row, base row): query row ``r[i]`` probes ``lists[i]``; for each query at most ``keep`` by
+    asymmetric distance."""
+    books = index["books"]
     width, m = books.shape[2], books.shape[0]
     pad = m * width - base.shape[1]
     order = np.argsort(home, kind="stable")
-    resid = np.pad(base[order] - c[home[order]], ((0, 0), (0, pad)))
+    here, starts = np.unique(home[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    centre = _centres(index, here)
+    resid = np.pad(base[order] - np.repeat(centre, ends - starts, axis=0), ((0, 0), (0, pad)))
     codes = np.empty((len(base), m), np.uint8)
     for s in range(m):
         b = books[s]
         codes[:, s] = np.argmax(resid[:, s * width : (s + 1) * width] @ b.T - 0.5 * (b * b).sum(1), axis=1)
-    starts, ends = np.searchsorted(home[order], np.arange(len(c))), np.searchsorted(home[order], np.arange(len(c)), side="right")
-    first = np.concatenate([np.ones((len(probes), 1), bool), probes[:, 1:] != probes[:, :1]], 1)
-    r, j = np.nonzero(first & (ends[probes] > starts[probes]))
-    lists = probes[r, j]
-    by = np.argsort(lists, kind="stable")
-    r, lists = r[by], lists[by]
+    at = np.searchsorted(here, lists)
+    there = here[np.minimum(at, len(here) - 1)] == lists  # lists without members hold nothing
+    r, at = r[there], at[there]
+    by = np.argsort(at, kind="stable")
+    r, at = r[by], at[by]
     padded = np.pad(query, ((0, 0), (0, pad)))
+    tables = np.concatenate([padded[:, s * width : (s + 1) * width] @ books[s].T for s in range(m)], 1)  # one row of tables a query
+    codes = codes.astype(np.int64) + np.arange(m) * books.shape[1]
     out_q, out_b, out_s = [], [], []
-    cuts = np.nonzero(np.diff(lists))[0] + 1
-    for rows in np.split(np.arange(len(lists)), cuts) if len(lists) else []:
-        ell = lists[rows[0]]
+    cuts = np.nonzero(np.diff(at))[0] + 1
+    for rows in np.split(np.arange(len(at)), cuts) if len(at) else []:
+        ell = at[rows[0]]
         lo, hi = starts[ell], ends[ell]
         step = max(1, 2_000_000 // (hi - lo))
         for a in range(0, len(rows), step):
             q = r[rows[a : a + step]]
-            score = np.repeat((query[q] @ c[ell])[:, None], hi - lo, 1)
+            score = np.repeat((query[q] @ centre[ell])[:, None], hi - lo, 1)
+            table = tables[q]
             for s in range(m):
-                table = padded[q, s * width : (s + 1) * width] @ books[s].T
                 score += table[:, codes[lo:hi, s]]
             if hi - lo > keep:
                 part = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
@@ -177,33 +267,31 @@ def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, pr
     return q[near], b[near]
 
 
-def _spans(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each n of ``lengths``, one after the other."""
-    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of every id: highest cosine, then smallest other id."""
     f = frame.sort_values(["id", "cosine", "other"], ascending=[True, False, True], kind="stable").drop_duplicates(["id", "other"])
     return f[f.groupby("id").cumcount() < k]
 
 
-def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine: float | None, keep: int, dim: int, nprobe: int, drop: float, pdf: pd.DataFrame) -> pd.DataFrame:
+def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine: float | None, keep: int, dim: int, pdf: pd.DataFrame) -> pd.DataFrame:
     raw = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
     ids, is_base = pdf["id"].to_numpy(np.int64), pdf["base"].to_numpy(bool)
-    # equal vectors are searched once: classes of equal bytes
+    # equal vectors are searched once: classes of equal bytes (they probe the same lists)
     _, first, cls = np.unique(raw.view(np.dtype((np.void, 4 * dim))).ravel(), return_index=True, return_inverse=True)
+    probed = [pdf["lists"].iloc[i] for i in first]
+    lists = np.frombuffer(b"".join(probed), np.int32).astype(np.int64)
+    times = np.array([len(p) // 4 for p in probed], np.int64)
     vec = raw[first].astype(np.float64)
     unit = vec / np.sqrt(np.einsum("ij,ij->i", vec, vec))[:, None]
     x = unit.astype(np.float32)
-    probes = _probes(x, index, nprobe, drop)
     based = np.zeros(len(first), bool)
     based[cls[is_base]] = True
     b_rows = np.nonzero(based)[0]
     if not len(b_rows):
         return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64"})
     floor = -2.0 if min_cosine is None else min_cosine - SLACK
-    q, b = _scan(index, x[b_rows], probes[b_rows, 0], x, probes, floor, keep)
+    own_list = lists[(np.cumsum(times) - times)[b_rows]]
+    q, b = _scan(index, x[b_rows], own_list, x, np.repeat(np.arange(len(first)), times), lists, floor, keep)
     b = b_rows[b]
     other = q != b
     q, b = q[other], b[other]
@@ -232,7 +320,11 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     out = queries.merge(small, on="q")[["id", "other", "cosine"]]
     hot = out["id"].isin(list(copies))
     out = out[(out["id"] != out["other"]) | hot]
-    return pd.concat([_best(out[~out["id"].isin(list(copies))], k), out[out["id"].isin(list(copies))]])
+    out = pd.concat([_best(out[~out["id"].isin(list(copies))], k), out[out["id"].isin(list(copies))]])
+    # a pair found by one side counts for the other, but for values with very many copies, whose lists are taken over later
+    many = {*copies, *(c for cs in copies.values() for c in cs)}
+    both = out[~out["id"].isin(many) & ~out["other"].isin(many)] if many else out
+    return pd.concat([out, both.rename(columns={"id": "other", "other": "id"})[["id", "other", "cosine"]]])
 
 
 def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, min_cosine: float | None = None, nprobe: int = 8, rerank: int = 48, drop: float = 0.25) -> DataFrame:
@@ -267,17 +359,22 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
             copies.setdefault(r["least"], []).append(r["id"])
         tagged = good.withColumn("h", F.xxhash64("v")).withColumn("g", F.hash("v")).join(hot_df, ["h", "g"], "left").where("least is null or least = id").select("id", "v")
     # the sample is drawn by a hash of the vector, so it is the same however the rows are split up
-    share = min(1.0, SAMPLE / rows)
-    drawn = tagged if share >= 1 else tagged.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = np.array(drawn.select("v").limit(2 * SAMPLE).toPandas()["v"].tolist(), np.float64)
+    most = SAMPLE_PER_LIST * _coarse_lists(rows)  # SAMPLE_PER_LIST * MAX_LISTS at any size
+    share = min(1.0, most / rows)
+    drawn = tagged if share >= 1 else tagged.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    sample = np.array(drawn.select("v").limit(2 * most).toPandas()["v"].tolist(), np.float64)
     if not len(sample):
         sample = np.array(tagged.select("v").limit(1).toPandas()["v"].tolist(), np.float64)
-    index = train(sample, rows)
-    shared = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids, whatever the number of rows
+    bucket_rows = min(BUCKET_ROWS, max(BUCKET_LEAST, rows // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index = train(sample, rows, bucket_rows)
+    shared = spark.sparkContext.broadcast(index)  # MAX_LISTS centroids and two times 2 ** MAX_DEPTH cells at most, whatever the number of rows
 
     def route(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def binary(flat: np.ndarray, ends: np.ndarray):
+            return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
         ix = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
@@ -286,24 +383,20 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
                 raw = np.asarray(part.column(1).flatten(), np.float32).reshape(-1, dim)
                 wide = raw.astype(np.float64)
                 x = (wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]).astype(np.float32)
-                probes = _probes(x, ix, nprobe, drop)
-                salt = np.abs(raw.view(np.int32).astype(np.int64) @ np.arange(1, dim + 1))  # equal vectors stay together
-                home, (r, to) = _buckets_of(ix, probes[:, 0], probes, salt)
-                at = np.concatenate([home, to])
-                row = np.concatenate([np.arange(len(ids)), r])
-                flat = np.ascontiguousarray(raw[row]).tobytes()
-                vec = pa.Array.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(flat)]).cast(pa.binary())
-                base = np.arange(len(row)) < len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(base), vec], names=["bucket", "id", "base", "vec"])
-
-    # as many partitions as the buckets need, whatever the session's default
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index["buckets"] // 2))
-    routed = tagged.mapInArrow(route, "bucket bigint, id bigint, base boolean, vec binary").repartition(parts, "bucket")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _search_bucket(shared.value, copies, k, min_cosine, rerank, dim, nprobe, drop, pdf)
-
-    found = routed.groupBy("bucket").applyInPandas(search, "id bigint, other bigint, cosine double")
+                row, to, home, ends, lists = _routes(ix, _probes(x, ix, nprobe, drop))
+                vec = binary(np.ascontiguousarray(raw[row]), np.arange(len(row) + 1) * 4 * dim)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(home), binary(lists.astype(np.int32), ends * 4), vec], names=["bucket", "id", "base", "lists", "vec"])
+
+    # a partition is a bucket
+    routed = tagged.mapInArrow(route, "bucket bigint, id bigint, base boolean, lists binary, vec binary").repartitionById(index["buckets"], F.col("bucket").cast("int"))
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            yield _search_bucket(shared.value, copies, k, min_cosine, rerank, dim, pd.concat(held, ignore_index=True))
+
+    found = routed.select("id", "base", "lists", "vec").mapInPandas(search, "id bigint, other bigint, cosine double")
+    found = found.repartition("id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     if not copies:
         return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
