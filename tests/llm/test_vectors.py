@@ -100,9 +100,9 @@ def test_lists_grow_with_the_rows():
         assert rows / index["buckets"] <= 2 * V.BUCKET_ROWS
         x = draw(1000)
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        probes = V._probes(x, index, 8, 0.25)
+        probes = V._probes(x, index, 12, 0.25)
         row, to, home, ends, lists = V._routes(index, probes)
-        assert home.sum() == len(x) and len(row) <= 8 * len(x) and ends[-1] == len(lists)
+        assert home.sum() == len(x) and len(row) <= 12 * len(x) and ends[-1] == len(lists)
         assert (probes >= 0).all() and (probes < index["offset"][-1]).all() and to.max() < index["buckets"]
         per_bucket = np.bincount(V._bucket(index, probes[:, 0]), minlength=index["buckets"]) / len(x)
         assert rows < 10**8 or per_bucket.max() < 0.02  # no bucket holds a great share

@@ -5,11 +5,10 @@ list is divided by the residual: every vector belongs to the nearest cell of a c
 (scaled by the list's own spread), with as many cells as bring a list back to LIST_ROWS vectors. So the centroids that have
 to be kept are bounded while the lists go on growing with the rows, and a vector probes a constant number of lists.
 Lists are gathered into buckets, neighbours together (recursive bisection along the main axis), so that the lists a vector
-probes lie in few buckets. One shuffle sends each vector to its home bucket and, as a query, to the other buckets that
-hold one of its probes. A bucket's task encodes the residuals of its members with product quantisers, scans the probed
+probes lie in few buckets. One shuffle sends each vector to its home bucket and, as a guest, to the other buckets that hold one
+of its probes, where two buckets meet on one side only: a pair found counts for both of its vectors. A bucket's task encodes the residuals of its members with product quantisers, scans the probed
 lists with asymmetric distance tables and reranks the best candidates exactly, in double precision, against the vectors
-that lie in the same bucket. A last shuffle merges the few results per vector and bucket; a pair that one of its vectors
-has found counts for the other too.
+that lie in the same bucket. A last shuffle merges the few results per vector and bucket.
 
 Every row is indexed; only centroids, cells and quantisers are fitted on the sample.
 """
@@ -71,7 +70,8 @@ def _bisect(c: np.ndarray, weight: np.ndarray, target: float) -> np.ndarray:
         x = c[ix] - c[ix].mean(0)
         axis = np.linalg.svd(x, full_matrices=False)[2][0] if len(ix) > 2 else x[0]
         order = ix[np.argsort(x @ axis, kind="stable")]
-        half = np.searchsorted(np.cumsum(weight[order]), weight[order].sum() / 2)
+        parts = math.ceil(weight[ix].sum() / target)
+        half = np.searchsorted(np.cumsum(weight[order]), weight[order].sum() * (parts // 2) / parts)
         half = min(max(int(half), 1), len(ix) - 1)
         stack += [order[:half], order[half:]]
     return bucket
@@ -198,22 +198,35 @@ def _probes(x: np.ndarray, index: dict, nprobe: int, drop: float) -> np.ndarray:
 
 def _routes(index: dict, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where each row goes: (row, bucket, whether it is the row's home, offsets into, lists probed there); at home, the
-    row's own list comes first."""
+    row's own list comes first.
+
+    Two buckets meet on one side only, which the order and parity of their numbers decide: a pair found there counts for
+    both of its vectors, so the other side has nothing to add but probes that one vector makes and the other doesn't."""
     n, k = probes.shape
     kept = np.concatenate([np.ones((n, 1), bool), probes[:, 1:] != probes[:, :1]], 1)
     r, j = np.nonzero(kept)
     lists = probes[r, j]
     to = _bucket(index, lists)
     home = to[np.nonzero(j == 0)[0]]
+    own = home[r]
+    goes = (to == own) | (((to + own) % 2 == 1) == (own < to))
+    r, j, to, lists = r[goes], j[goes], to[goes], lists[goes]
     by = np.lexsort((j, to, r))
     r, to, lists = r[by], to[by], lists[by]
     start = np.nonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (to[1:] != to[:-1])]))[0] if len(r) else np.empty(0, np.int64)
     return r[start], to[start], to[start] == home[r[start]], np.append(start, len(r)), lists
 
 
-def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, r: np.ndarray, lists: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (query row, base row): query row ``r[i]`` probes ``lists[i]``; for each query at most ``keep`` by
-    asymmetric distance."""
+def _first_of_each(key: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Positions of the ``keep`` highest scores of every key."""
+    best = np.lexsort((-score, key))
+    of = key[best]
+    return best[np.arange(len(of)) - np.searchsorted(of, of) < keep]
+
+
+def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, guest: np.ndarray, r: np.ndarray, lists: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (query row, base row) by asymmetric distance: query row ``r[i]`` probes ``lists[i]``. At most ``keep``
+    of each query row, and of each base row among the queries that are guests in this bucket."""
     books = index["books"]
     width, m = books.shape[2], books.shape[0]
     pad = m * width - base.shape[1]
@@ -232,39 +245,38 @@ def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, r:
     by = np.argsort(at, kind="stable")
     r, at = r[by], at[by]
     padded = np.pad(query, ((0, 0), (0, pad)))
-    tables = np.concatenate([padded[:, s * width : (s + 1) * width] @ books[s].T for s in range(m)], 1)  # one row of tables a query
-    codes = codes.astype(np.int64) + np.arange(m) * books.shape[1]
-    out_q, out_b, out_s = [], [], []
+    found, found_for = [], []
     cuts = np.nonzero(np.diff(at))[0] + 1
     for rows in np.split(np.arange(len(at)), cuts) if len(at) else []:
         ell = at[rows[0]]
         lo, hi = starts[ell], ends[ell]
-        step = max(1, 2_000_000 // (hi - lo))
+        step = max(1, 1_000_000 // (hi - lo))
         for a in range(0, len(rows), step):
             q = r[rows[a : a + step]]
-            score = np.repeat((query[q] @ centre[ell])[:, None], hi - lo, 1)
-            table = tables[q]
+            score = np.repeat((query[q] @ centre[ell])[None, :], hi - lo, 0)  # members x queries
+            mine = np.ascontiguousarray(padded[q].T)
             for s in range(m):
-                score += table[:, codes[lo:hi, s]]
-            if hi - lo > keep:
-                part = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                val = np.take_along_axis(score, part, 1)
-                i, t = np.nonzero(val >= floor)
-                b, val = part[i, t], val[i, t]
+                score += (books[s] @ mine[s * width : (s + 1) * width])[codes[lo:hi, s]]
+            b, i = np.nonzero(score >= floor)
+            val = score[b, i]
+            if len(b) > keep * len(q):
+                first = _first_of_each(i, val, keep)
+                found.append((q[i[first]], order[lo + b[first]], val[first]))
             else:
-                i, b = np.nonzero(score >= floor)
-                val = score[i, b]
-            out_q.append(q[i])
-            out_b.append(order[lo + b])
-            out_s.append(val)
-    if not out_q:
+                found.append((q[i], order[lo + b], val))
+            g = np.nonzero(guest[q[i]])[0]
+            if len(g) > keep * (hi - lo):
+                g = g[_first_of_each(b[g], val[g], keep)]
+            found_for.append((q[i[g]], order[lo + b[g]], val[g]))
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    q, b, s = np.concatenate(out_q), np.concatenate(out_b), np.concatenate(out_s)
-    best = np.lexsort((-s, q))
-    q, b = q[best], b[best]
-    start = np.searchsorted(q, q)  # first position of the query: rank of the candidate within it
-    near = np.arange(len(q)) - start < keep
-    return q[near], b[near]
+    pairs = []
+    for side, of in ((found, 0), (found_for, 1)):
+        q, b, val = (np.concatenate(x) for x in zip(*side, strict=True))
+        first = _first_of_each((q, b)[of], val, keep)
+        pairs.append(q[first] * len(base) + b[first])
+    both = np.unique(np.concatenate(pairs))
+    return both // len(base), both % len(base)
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -278,7 +290,8 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     ids, is_base = pdf["id"].to_numpy(np.int64), pdf["base"].to_numpy(bool)
     # equal vectors are searched once: classes of equal bytes (they probe the same lists)
     _, first, cls = np.unique(raw.view(np.dtype((np.void, 4 * dim))).ravel(), return_index=True, return_inverse=True)
-    probed = [pdf["lists"].iloc[i] for i in first]
+    sent = pdf["lists"].to_numpy()
+    probed = [sent[i] for i in first]
     lists = np.frombuffer(b"".join(probed), np.int32).astype(np.int64)
     times = np.array([len(p) // 4 for p in probed], np.int64)
     vec = raw[first].astype(np.float64)
@@ -291,21 +304,22 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
         return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64"})
     floor = -2.0 if min_cosine is None else min_cosine - SLACK
     own_list = lists[(np.cumsum(times) - times)[b_rows]]
-    q, b = _scan(index, x[b_rows], own_list, x, np.repeat(np.arange(len(first)), times), lists, floor, keep)
+    q, b = _scan(index, x[b_rows], own_list, x, ~based, np.repeat(np.arange(len(first)), times), lists, floor, keep)
     b = b_rows[b]
-    other = q != b
-    q, b = q[other], b[other]
+    once = np.unique(np.minimum(q, b) * len(first) + np.maximum(q, b))
+    q, b = once // len(first), once % len(first)
+    q, b = q[q != b], b[q != b]
     cos = np.empty(len(q))
     for a in range(0, len(q), 200_000):
         cos[a : a + 200_000] = np.einsum("ij,ij->i", unit[q[a : a + 200_000]], unit[b[a : a + 200_000]])
-    own = np.nonzero(based)[0]  # a class is a neighbour of itself: its other ids have cosine 1
-    q, b, cos = np.concatenate([q, own]), np.concatenate([b, own]), np.round(np.concatenate([cos, np.ones(len(own))]), 6)
+    # a pair counts for both; at home a class is a neighbour of itself: its other ids have cosine 1
+    q, b, cos = np.concatenate([q, b, b_rows]), np.concatenate([b, q, b_rows]), np.round(np.concatenate([cos, cos, np.ones(len(b_rows))]), 6)
     if min_cosine is not None:
         ok = cos >= min_cosine
         q, b, cos = q[ok], b[ok], cos[ok]
-    # the k + 1 smallest ids of each base class; those of values with very many copies come along
-    members = pd.DataFrame({"cls": cls[is_base], "id": ids[is_base]})
-    extra = [(int(cls[i]), c) for i in np.nonzero(is_base)[0] if int(ids[i]) in copies for c in copies[int(ids[i])]]
+    # the k + 1 smallest ids of each class; those of values with very many copies come along
+    members = pd.DataFrame({"cls": cls, "id": ids})
+    extra = [(int(cls[i]), c) for i in np.nonzero(np.isin(ids, list(copies)))[0] for c in copies[int(ids[i])]] if copies else []
     if extra:
         members = pd.concat([members, pd.DataFrame(extra, columns=["cls", "id"])])
     members = members.drop_duplicates().sort_values(["cls", "id"])
@@ -320,14 +334,10 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     out = queries.merge(small, on="q")[["id", "other", "cosine"]]
     hot = out["id"].isin(list(copies))
     out = out[(out["id"] != out["other"]) | hot]
-    out = pd.concat([_best(out[~out["id"].isin(list(copies))], k), out[out["id"].isin(list(copies))]])
-    # a pair found by one side counts for the other, but for values with very many copies, whose lists are taken over later
-    many = {*copies, *(c for cs in copies.values() for c in cs)}
-    both = out[~out["id"].isin(many) & ~out["other"].isin(many)] if many else out
-    return pd.concat([out, both.rename(columns={"id": "other", "other": "id"})[["id", "other", "cosine"]]])
+    return pd.concat([_best(out[~out["id"].isin(list(copies))], k), out[out["id"].isin(list(copies))]])
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, min_cosine: float | None = None, nprobe: int = 8, rerank: int = 48, drop: float = 0.25) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, min_cosine: float | None = None, nprobe: int = 12, rerank: int = 48, drop: float = 0.25) -> DataFrame:
     """The ``k`` most similar other ids of every usable vector: ``id``, ``other``, ``cosine``.
 
     Cosines are computed in double precision and rounded to 6 decimals; of equal ones the smaller id comes first.
