@@ -1,9 +1,12 @@
 """Best representative of each duplicate group: skyline selection field by field.
 
-Records of a group are compared by completeness (does the field carry information), trust and recency. For each field
-the Pareto-undominated records among those that carry information form the first layer with a value; a lexicographic
-policy (trust, then recency, then smallest id) picks the survivor of the layer. A record that lacks the field is
-dominated by one that has it, so nulls are filled from the following layers by construction.
+The records of a group are points on three axes: completeness (does the record's value of the field carry information),
+trust and recency. For each field the Pareto-undominated records are computed, and a lexicographic policy (completeness,
+trust, recency, then the smallest id) picks the survivor among them. As completeness of the field is an axis, a record
+without a value can't dominate one that has it, so the first dominance layer holds a value whenever any record has one:
+a field that the most trusted record lacks is filled from the undominated records that have it, and no later layer is
+needed. Layers over trust and recency alone would fill it by a less trusted but later record of the first layer, which is
+not the rule that is asked for.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import HOT_LEAST, HOT_PARTS
+from weftgraph.runtime import cut
 
 # Texts that stand in for a missing value, compared after trimming and lower-casing.
 PLACEHOLDERS = [
@@ -27,8 +31,6 @@ PLACEHOLDERS = [
 
 #: A cut-off value may end in one of these marks.
 CUT_MARK = r"(?U)\s*(…|\.\.\.|\[…\]|\[\.\.\.\])\s*$"
-#: In groups above the hot bound, values are ordered within their first so many characters only.
-HOT_PREFIX = 32
 
 
 def _clean(c: Column) -> Column:
@@ -45,58 +47,91 @@ def _order_key(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)([^\p{L}\p{N}])", "￿$1")
 
 
-def _broken(values: DataFrame, hot: list) -> DataFrame:
+def _next_in_range(values: DataFrame, columns: list[str]) -> DataFrame:
+    """``values`` with ``__next``: the stem of the following row in the order of ``columns`` (the last is ``key``), if it has
+    the same others. Rows are put in order by range, so one group may be spread over all partitions; the first row of each
+    partition, as many as there are partitions, completes the last row of the one before."""
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(values.repartitionByRange(parts, *columns).withColumn("__at", F.spark_partition_id()))
+    order = Window.partitionBy("__at").orderBy(*columns)
+    inside = ranged.withColumn("__next", F.lead(F.struct("grp", "field", "stem")).over(order)).withColumn("__last", F.lead(F.lit(1)).over(order).isNull())
+    first = ranged.groupBy("__at").agg(F.min(F.struct(*columns, "stem")).alias("f")).select("__at", F.struct("f.grp", "f.field", "f.stem").alias("head"))
+    follows = first.select((F.lag("__at").over(Window.orderBy("__at"))).alias("__at"), "head")  # one row a partition
+    whole = inside.where("not __last").unionByName(inside.where("__last").drop("__next").join(F.broadcast(follows), "__at", "left").withColumnRenamed("head", "__next"))
+    same = F.col("__next.grp").eqNullSafe(F.col("grp")) & (F.col("__next.field") == F.col("field"))
+    return whole.withColumn("__next", F.when(same, F.col("__next.stem")))
+
+
+def _broken(values: DataFrame, is_hot: Column | None) -> DataFrame:
     """Of distinct (grp, field, stem), those that another stem of the same group and field continues inside a word.
 
     In the order of ``_order_key`` the next value starts with the stem and goes on with a word character if any value
-    does. Groups in ``hot`` (bounded in number) are ordered within their stem's first HOT_PREFIX characters; their
-    shorter stems are looked up among the beginnings of the others, which a pre-aggregation makes distinct.
+    does. Groups are ordered by a window; those of ``is_hot`` by ranges that several tasks share.
     """
-    is_hot = F.col("grp").isin(hot) if hot else F.lit(False)
-    v = values.withColumn("key", _order_key(F.col("stem"))).withColumn("salt", F.when(is_hot, F.substring("stem", 1, HOT_PREFIX)).otherwise(F.lit("")))
-    after = Window.partitionBy("grp", "field", "salt").orderBy("key")
+    v = values.withColumn("key", _order_key(F.col("stem")))
+    after = Window.partitionBy("grp", "field").orderBy("key")
     ends_in_word = F.col("stem").rlike(r"(?U)[\p{L}\p{N}]$")
-    nxt = F.lead("stem").over(after)
     goes_on = F.expr("substring(__next, length(stem) + 1, 1)").rlike(r"(?U)[\p{L}\p{N}]")
-    found = v.withColumn("__next", nxt).where(ends_in_word & F.col("__next").startswith(F.col("stem")) & goes_on).select("grp", "field", "stem")
-    if not hot:
-        return found
-    short = values.where(is_hot & (F.length("stem") < HOT_PREFIX) & ends_in_word)
-    begin = values.where(is_hot).select("grp", "field", F.explode(F.expr(f"transform(sequence(1, greatest(1, least({HOT_PREFIX - 1}, length(stem) - 1))), i -> struct(substring(stem, 1, i) as stem, substring(stem, i + 1, 1) as nx))")).alias("b"))
-    begin = begin.select("grp", "field", "b.stem", "b.nx").where(F.col("nx").rlike(r"(?U)[\p{L}\p{N}]")).select("grp", "field", "stem").distinct()
-    return found.unionByName(short.join(begin, ["grp", "field", "stem"], "left_semi")).distinct()
+    if is_hot is None:
+        following = v.withColumn("__next", F.lead("stem").over(after))
+    else:
+        few = _next_in_range(v.where(is_hot), ["grp", "field", "key"]).select(*v.columns, "__next")
+        following = v.where(~is_hot).withColumn("__next", F.lead("stem").over(after)).unionByName(few)
+    return following.where(ends_in_word & F.col("__next").startswith(F.col("stem")) & goes_on).select("grp", "field", "stem")
+
+
+def _undominated(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``points`` (``complete``, ``trust``, ``recency``) that no other row with the same ``keys`` dominates; of rows
+    equal on all three axes there is one."""
+    above = Window.partitionBy(*keys).orderBy(F.desc("trust"), F.desc("recency"), F.desc("complete"))
+    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    # whatever dominates a row comes before it; the latest complete row and the latest of all decide
+    seen = lambda c: F.max(F.when(c, F.struct(F.lit(1).alias("any"), "recency"))).over(before)
+    own = F.struct(F.lit(1).alias("any"), "recency")
+    held = points.withColumn("__c", seen(F.col("complete") == 1)).withColumn("__a", seen(F.lit(True)))
+    beaten = F.coalesce(F.col("__c") >= own, F.lit(False)) | ((F.col("complete") == 0) & F.coalesce(F.col("__a") >= own, F.lit(False)))
+    return held.where(~beaten).drop("__c", "__a")
 
 
 def field_skyline(df: DataFrame, group: str, record: str, fields: list[str], trust: str, recency: str) -> DataFrame:
-    """Pareto front of each group and field among the records whose value carries information, with its survivor marked.
-
-    Returns ``grp``, ``field``, ``trust`` (null as the lowest possible value), ``recency``, ``record``, ``survivor``.
-    Of records with equal trust and recency the smallest id stands for all. Array fields carry information if one entry
-    does. Null recency is earlier than any. Records with a null group form a group of their own (null). Groups without
-    information in a field have no row for it. Rows delivered again change nothing. One group may hold a third of all
-    rows: records are pre-aggregated by (group, field, trust), and only the front's candidates, one per trust value, meet.
+    """First dominance layer of each group and field over completeness, trust and recency, with its survivor marked.
+
+    Returns ``grp``, ``field``, ``complete`` (1 or 0), ``trust`` (double, minus infinity for null and NaN), ``recency``,
+    ``record``, ``survivor``. Of records equal on all axes the smallest id stands for all. Array fields carry information
+    if one entry does. Null recency is earlier than any. Records with a null group form a group of their own (null).
+    Groups without information in a field have no survivor for it. Rows delivered again change nothing; an empty table gives
+    no rows. One group may hold a third of all rows: records are pre-aggregated by (group, field, completeness, trust), the
+    layers of 64 parts of a group are found first, and their union's layer is the group's.
     """
     kinds = dict(df.dtypes)
-    slim = df.select(F.col(group).alias("grp"), F.col(record).alias("record"), F.col(trust).cast("bigint").alias("trust"), F.col(recency).alias("recency"), *[(F.col(f) if kinds[f].startswith("array") else F.array(F.col(f))).cast("array<string>").alias(f"f{i}") for i, f in enumerate(fields)])
+    weight = F.col(trust).cast("double")
+    weight = F.when(weight.isNull() | F.isnan(weight), F.lit(float("-inf"))).otherwise(weight)
+    slim = df.select(F.col(group).alias("grp"), F.col(record).alias("record"), weight.alias("trust"), F.col(recency).alias("recency"), *[(F.col(f) if kinds[f].startswith("array") else F.array(F.col(f))).cast("array<string>").alias(f"f{i}") for i, f in enumerate(fields)])
     as_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("vals")) for i, f in enumerate(fields)])
-    long = slim.select("grp", "record", "trust", "recency", F.explode(as_field).alias("s")).select("grp", "record", "trust", "recency", "s.field", F.explode("s.vals").alias("val"))
+    wide = slim.select("grp", "record", "trust", "recency", F.explode(as_field).alias("s")).select("grp", "record", "trust", "recency", "s.field", "s.vals")
+    long = wide.select("grp", "record", "trust", "recency", "field", F.explode_outer("vals").alias("val"))
     strip = F.regexp_replace("val", "(?U)^[\\s\\u200b]+|[\\s\\u200b]+$", "")
-    long = long.where(says_something(F.col("val"))).withColumn("stem", F.regexp_replace(strip, CUT_MARK, ""))
+    long = long.withColumn("stem", F.when(says_something(F.col("val")), F.regexp_replace(strip, CUT_MARK, "")))
     values = long.select("grp", "field", "stem").where("stem <> ''").distinct()
     sizes = df.groupBy(F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in sizes.where((F.col("n") > max(HOT_LEAST, total // HOT_PARTS)) & F.col("grp").isNotNull()).select("grp").collect()] if total > HOT_LEAST else []
-    bad = _broken(values, hot).withColumn("broken", F.lit(True))
-    cond = [long.grp.eqNullSafe(bad.grp), long.field == bad.field, long.stem == bad.stem]
-    good = long.join(bad, cond, "left_anti").where("stem <> ''")
-    # one candidate for each trust value: the latest, then the smallest id
-    lowest = F.coalesce("trust", F.lit(-(2**62)))
-    best = good.groupBy("grp", "field", lowest.alias("trust")).agg(F.max(F.struct(F.col("recency"), (-F.col("record")).alias("neg"))).alias("m"))
-    best = best.select("grp", "field", "trust", F.col("m.recency").alias("recency"), (-F.col("m.neg")).alias("record"))
-    higher = Window.partitionBy("grp", "field").orderBy(F.desc("trust")).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.row_number().over(Window.partitionBy("grp", "field").orderBy(F.desc("trust")))
-    front = best.withColumn("__seen", F.max("recency").over(higher)).withColumn("survivor", top == 1)
-    return front.where(F.col("survivor") | F.col("__seen").isNull() | (F.col("recency") > F.col("__seen"))).drop("__seen")
+    hot = [r[0] for r in sizes.where(F.col("n") > max(HOT_LEAST, total // HOT_PARTS)).select("grp").collect()] if total > HOT_LEAST else []
+    is_hot = None
+    if hot:  # fewer than HOT_PARTS groups; the null group may be one
+        is_hot = F.when(F.col("grp").isNull(), F.lit(None in hot)).otherwise(F.col("grp").isin([g for g in hot if g is not None]))
+    bad = _broken(values, is_hot).select(F.col("grp").alias("b_grp"), F.col("field").alias("b_field"), F.col("stem").alias("b_stem"))
+    marked = long.join(bad, F.expr("grp <=> b_grp and field = b_field and stem = b_stem"), "left")
+    marked = marked.select("grp", "field", "trust", "recency", "record", (F.col("b_stem").isNull() & (F.coalesce("stem", F.lit("")) != "")).cast("int").alias("complete"))
+    # of each trust value the latest record counts, then the smallest id
+    best = marked.groupBy("grp", "field", "complete", "trust").agg(F.max(F.struct(F.col("recency"), (-F.col("record")).alias("neg"))).alias("m"))
+    points = best.select("grp", "field", "complete", "trust", F.col("m.recency").alias("recency"), (-F.col("m.neg")).alias("record"))
+    if is_hot is not None:
+        salted = points.where(is_hot).withColumn("__salt", F.pmod(F.xxhash64("trust", "complete"), F.lit(64)))
+        points = points.where(~is_hot).unionByName(_undominated(salted, ["grp", "field", "__salt"]).drop("__salt"))
+    front = _undominated(points, ["grp", "field"])
+    policy = F.row_number().over(Window.partitionBy("grp", "field").orderBy(F.desc("complete"), F.desc("trust"), F.desc("recency"), "record"))
+    return front.withColumn("survivor", (policy == 1) & (F.col("complete") == 1))
 
 
 def survivors(df: DataFrame, group: str, record: str, fields: list[str], trust: str, recency: str) -> DataFrame:
