@@ -2,48 +2,25 @@
 
 Different values are few beside the records, so the values are made distinct first, normalised, and sent through an
 inverted index of the character n-grams of the list's forms. Candidates are scored by weighted cosine; the best form is
-accepted above a threshold, a margin to the best form of any other entry, and an edit-distance check.
+accepted if it reaches a threshold and leads the best form of any other entry by a margin.
+
+Words that share no letters with any form of the list, such as synonyms and translations, are learned from the records
+themselves (``values_in_use``): a value whose records bear the names of records with another value, equal to a form, means
+the same, and one whose records are of many kinds means none of the list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import skew_safe_lookup
 from weftgraph.runtime import cut
 
-# General words for the kinds of things that knowledge graphs name, in English, German, French and Spanish.
-TYPE_WORDS = {
-    "PERSON": "people; per; man or woman; mensch; personen; personne; personnes; persona; individuo; named individual",
-    "ORGANIZATION": "organisationen; organización; organizaciones; public body; non-profit; ngo; verein; association; institutionen",
-    "COMPANY": "enterprise; trading company; corp; unternehmen; firma; entreprise; société; empresa; compañía",
-    "UNIVERSITY": "universität; hochschule; université; universidad; alma mater; higher education institution",
-    "ROLE": "occupation; function held; post; beruf; rolle; poste; métier; puesto; cargo; profession",
-    "PROJECT": "planned work; programme of work; projekt; projet; proyecto; undertaking",
-    "SKILL": "know-how; proficiency; fähigkeit; kenntnis; compétence; habilidad; competencia; capability",
-    "TOOL": "app; application; werkzeug; outil; herramienta; instrument",
-    "FRAMEWORK": "fwk; software framework; dev framework; rahmenwerk; cadriciel; marco de trabajo",
-    "DATABASE": "dbms; datenbank; base de données; base de datos; datastore",
-    "LANGUAGE": "spoken language; sprache; langue; idioma; lengua",
-    "CERTIFICATION": "accreditation; zertifikat; certificat; certificado; certificación; zertifizierung",
-    "LOCATION": "town; country; region; ort; stadt; lieu; ville; ciudad; lugar; geographic place",
-    "DISEASE": "krankheit; maladie; enfermedad; medical condition",
-    "SYMPTOM": "symptom of illness; sign of illness; symptôme; síntoma; beschwerde",
-    "DRUG": "pharmaceutical; medikament; arzneimittel; médicament; medicamento; medicinal product",
-    "TREATMENT": "course of therapy; behandlung; traitement; tratamiento; therapie",
-    "ANATOMY": "anatomical structure; körperteil; anatomie; partie du corps; anatomía; parte del cuerpo",
-    "GENE": "hereditary unit; erbanlage; gen; gène",
-    "RESEARCH_STUDY": "research; studie; étude; estudio; scientific study",
-    "CONTRACT": "vertrag; contrat; contrato; deal; deed; covenant",
-    "LAW": "act of parliament; gesetz; loi; ley; regulation",
-    "FINANCIAL_METRIC": "kennzahl; indicateur financier; indicador financiero; financial figure; fin metric; finanzkennzahl",
-    "PRODUCT": "article for sale; produkt; produit; producto; goods",
-    "CONCEPT": "abstraction; begriff; konzept; notion; concepto; idée",
-    "EVENT": "veranstaltung; ereignis; événement; évènement; evento; gathering",
-}
-
-GRAM_FLOOR, THRESHOLD, MARGIN = 0.2, 0.3, 0.05
+#: Least cosine, and least lead over the best form of another entry.
+THRESHOLD, MARGIN = 0.55, 0.02
+#: What a value is used for shows from so many votes on, if one entry has such a share of them.
+VOTES, VOTE_SHARE = 3, 0.8
 
 
 def normalise(c: Column) -> Column:
@@ -60,9 +37,9 @@ def normalise(c: Column) -> Column:
     return F.trim(x)
 
 
-def _grams(c: Column) -> Column:
-    """Different 2- and 3-grams of the padded text."""
-    return F.expr(f"array_distinct(flatten(transform(array(2, 3), n -> transform(sequence(1, greatest(1, length({c}) + 3 - n)), i -> substring(concat('^', {c}, '$'), i, n)))))")
+def _grams(c: str) -> Column:
+    """Different letters and pairs of letters of the padded text."""
+    return F.expr(f"array_distinct(flatten(transform(array(1, 2), n -> transform(sequence(1, length({c}) + 3 - n), i -> substring(concat('^', {c}, '$'), i, n)))))")
 
 
 def _plurals(c: str) -> str:
@@ -81,55 +58,88 @@ def reference_forms(ref: DataFrame, key: str, columns: list[str], more: DataFram
     return forms.groupBy("form").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def type_words(spark: SparkSession, ref: DataFrame, key: str, name: str) -> DataFrame:
-    """TYPE_WORDS as (entry, raw), for the names that the reference list has."""
-    rows = [(k, w.strip()) for k, ws in TYPE_WORDS.items() for w in ws.split(";")]
-    words = spark.createDataFrame(rows, "word_of string, raw string")
-    return words.join(ref.select(F.col(key).alias("entry"), F.col(name).alias("word_of")), "word_of").select("entry", "raw")
+def _norm(c: str) -> Column:
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+
 
+def _weighted(df: DataFrame, text: str, idf: DataFrame, unseen: float) -> DataFrame:
+    """``text``, ``g``: its n-grams with their weights as an array of (w, gram), heaviest first; ``unseen`` for unknown ones."""
+    grams = df.select(text, F.explode(_grams(text)).alias("gram")).join(idf, "gram", "left").withColumn("w", F.coalesce("w", F.lit(unseen)))
+    return grams.groupBy(text).agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("g"))
 
-def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+
+def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, never: DataFrame | None = None) -> DataFrame:
     """``column``, ``entry`` (null: unmatched), ``form``, ``score`` for every different non-null value of ``column``.
 
-    A value equal to a form after normalisation matches it with score 1. Otherwise candidates come from the n-gram index;
-    the best must reach ``threshold``, lead the best form of another entry by ``margin`` (ties fail) and lie within one
-    edit (two from nine letters on; neighbouring letters swapped are one) of its form. Values of three letters or fewer
-    must match exactly. Blank values, and any value if the list is empty, are unmatched.
+    A value equal to a form after normalisation matches it with score 1. Otherwise the best form must reach ``threshold``
+    and lead the best form of any other entry by ``margin`` (ties fail). Blank values, and any value if the list is empty, are
+    unmatched. Of forms of one entry with equal scores the greatest is named. The normalised values in ``never`` (``raw``)
+    match nothing but a form that they equal.
+
+    Only the heaviest n-grams of a value are looked up: the others are so light that a form which has nothing else in
+    common with the value can't come within ``margin`` of the threshold, so no candidate that counts is lost.
     """
     forms = cut(forms)
-    distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("norm", normalise(F.col("value")))
+    distinct = cut(values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("norm", normalise(F.col("value"))))
+    n_forms = forms.count()
     norms = distinct.select("norm").where("norm <> ''").distinct()
     exact = norms.join(forms.select(F.col("form").alias("norm"), "entry"), "norm")
-    fuzzy = norms.join(exact, "norm", "left_anti").where("length(norm) > 3")
-    n = forms.agg(F.count(F.lit(1)).alias("n_forms"))
-    posts = forms.select("form", "entry", F.explode(_grams("form")).alias("gram"))
-    idf = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("gram", F.log(1 + F.col("n_forms") / F.col("df")).alias("w"))  # n has one row
-    posts = posts.join(idf, "gram")
-    form_norm = posts.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fn"))
-    index = cut(posts.join(form_norm, "form").select("gram", "form", "entry", "w", "fn"))
-    grams = fuzzy.select("norm", F.explode(_grams("norm")).alias("gram"))
-    known = grams.join(idf, "gram", "left").crossJoin(n).withColumn("w", F.coalesce("w", F.log(1 + F.col("n_forms"))))
-    value_norm = known.groupBy("norm").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vn"))
-    hits = grams.join(index, "gram").groupBy("norm", "form", "entry").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.first("fn").alias("fn"))
-    scored = hits.join(value_norm, "norm").withColumn("score", F.round(F.col("dot") / (F.col("fn") * F.col("vn")), 6)).where(F.col("score") >= GRAM_FLOOR)
-    lev = F.levenshtein("norm", "form")
-    swapped = (lev == 2) & (F.length("norm") == F.length("form")) & (F.array_sort(F.split("norm", "")) == F.array_sort(F.split("form", "")))
-    edits = F.when(swapped, 1).otherwise(lev)
-    scored = scored.withColumn("edits", edits)
-    allowed = F.when(F.length("form") >= 9, 2).otherwise(1)
-    # the best form of each entry, then the two best entries
-    per_entry = scored.groupBy("norm", "entry").agg(F.max(F.struct(F.col("edits") <= allowed, "score", "form", F.col("edits"))).alias("b"))
-    per_entry = per_entry.select("norm", "entry", F.col("b.score").alias("score"), F.col("b.form").alias("form"), F.col("b.edits").alias("edits"))
-    order = Window.partitionBy("norm").orderBy(F.desc(F.col("edits") <= allowed), F.desc("score"), "entry")
-    ranked = per_entry.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).withColumn("second_edits", F.lead("edits").over(order))
-    lead = F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin
-    clearly = F.coalesce(F.col("second_edits") > F.col("edits"), F.lit(True))
-    near = ranked.where((F.col("r") == 1) & (F.col("score") >= threshold) & (F.col("edits") <= allowed) & (lead | clearly))
-    found = exact.select("norm", "entry", F.col("norm").alias("form"), F.lit(1.0).alias("score")).unionByName(near.select("norm", "entry", "form", "score"))
+    found = exact.select("norm", "entry", F.col("norm").alias("form"), F.lit(1.0).alias("score"))
+    if n_forms:
+        idf = forms.select(F.explode(_grams("form")).alias("gram")).groupBy("gram").agg(F.log(1 + F.lit(n_forms) / F.count(F.lit(1))).alias("w"))
+        index = cut(_weighted(forms, "form", idf, 0.0).join(forms, "form").withColumn("fn", _norm("g")))
+        posts = index.select(F.explode("g.gram").alias("gram"), "form", "entry", F.col("g").alias("fg"), "fn")
+        fuzzy = norms.join(forms.select(F.col("form").alias("norm")), "norm", "left_anti")
+        if never is not None:
+            fuzzy = fuzzy.join(never.select(F.col("raw").alias("norm")), "norm", "left_anti")
+        unseen = F.log(F.lit(1.0 + n_forms))
+        known = _weighted(fuzzy, "norm", cut(idf), 0.0).withColumn("g", F.transform("g", lambda x: F.struct(F.when(x["w"] > 0, x["w"]).otherwise(unseen).alias("w"), x["gram"].alias("gram"))))
+        known = known.withColumn("g", F.sort_array("g", asc=False)).withColumn("vn", _norm("g"))
+        # the lightest n-grams whose part of the norm stays below what counts are not looked up
+        light = (F.lit(threshold - margin) * F.col("vn")) ** 2
+        rest = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+        heavy = F.filter("g", lambda x, i: rest(i) >= light)
+        asked = known.select("norm", "vn", F.col("g.gram").alias("vg"), F.explode(F.transform(heavy, lambda x: x["gram"])).alias("gram"))
+        hits = asked.join(posts, "gram").dropDuplicates(["norm", "form"])
+        dot = F.aggregate("fg", F.lit(0.0), lambda s, x: s + F.when(F.array_contains(F.col("vg"), x["gram"]), x["w"] * x["w"]).otherwise(0.0))
+        scored = hits.select("norm", "form", "entry", F.round(dot / (F.col("fn") * F.col("vn")), 6).alias("score")).where(F.col("score") >= threshold - margin)
+        per_entry = scored.groupBy("norm", "entry").agg(F.max(F.struct("score", "form")).alias("b"))
+        order = Window.partitionBy("norm").orderBy(F.desc("b.score"), "entry")
+        ranked = per_entry.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("b.score").over(order))
+        lead = F.round(F.col("b.score") - F.coalesce("second", F.lit(0.0)), 6) >= margin
+        near = ranked.where((F.col("r") == 1) & (F.col("b.score") >= threshold) & lead)
+        found = found.unionByName(near.select("norm", "entry", "b.form", "b.score"))
     return distinct.join(found, "norm", "left").select(F.col("value").alias(column), "entry", "form", "score")
 
 
-def map_column(df: DataFrame, column: str, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def _name_key(c: Column) -> Column:
+    """Words of a name in alphabetic order, without case and punctuation."""
+    return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")), " ")
+
+
+def values_in_use(df: DataFrame, record: str, column: str, name: str, aliases: str, forms: DataFrame, votes: int = VOTES, share: float = VOTE_SHARE) -> DataFrame:
+    """``entry``, ``raw``: what normalised values of ``column`` that equal no form are used for; ``entry`` is null if for
+    things of several entries.
+
+    A record with such a value votes for the entry that most of the records with one of its names or aliases have by a value
+    equal to a form. Only values with at least ``votes`` votes come out; their entry is the one with the share ``share`` of
+    them. Null, blank and very short names vote for nothing; rows delivered again count once; an empty table gives no rows.
+    A name that a third of all records bear is counted before it meets them.
+    """
+    both = F.array_distinct(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))
+    rows = df.where(F.col(record).isNotNull() & F.col(column).isNotNull()).select(F.col(record).alias("rec"), normalise(F.col(column)).alias("norm"), F.explode(both).alias("n"))
+    keys = rows.where("norm <> '' and n is not null").select("rec", "norm", _name_key(F.col("n")).alias("k")).where("length(k) > 3")
+    total = keys.count()
+    known = cut(skew_safe_lookup(keys, forms.select(F.col("form").alias("norm"), "entry"), "norm", total))
+    per = known.where("entry is not null").groupBy("k", "entry").agg(F.count_distinct("rec").alias("n"))
+    best = per.groupBy("k").agg(F.sum("n").alias("t"), F.max(F.struct("n", "entry")).alias("m")).where("m.n * 2 > t").select("k", F.col("m.entry").alias("e"))
+    asks = known.where("entry is null").select("norm", "rec", "k").distinct()
+    votes_of = skew_safe_lookup(asks, best, "k", total).where("e is not null").select("norm", "rec", "e").distinct().groupBy("norm", "e").agg(F.count(F.lit(1)).alias("n"))
+    top = votes_of.groupBy("norm").agg(F.sum("n").alias("t"), F.max(F.struct("n", "e")).alias("m")).where(F.col("t") >= votes)
+    return top.select(F.when(F.col("m.n") >= share * F.col("t"), F.col("m.e")).alias("entry"), F.col("norm").alias("raw"))
+
+
+def map_column(df: DataFrame, column: str, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, never: DataFrame | None = None) -> DataFrame:
     """``df`` with ``entry``, ``form``, ``score`` of its value; rows with null or unmatched values keep nulls there."""
-    found = map_values(df, column, forms, threshold, margin)
+    found = map_values(df, column, forms, threshold, margin, never)
     return skew_safe_lookup(df, found, column)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.canonical import map_column, map_values, reference_forms, type_words
+from weftgraph.llm.canonical import map_column, map_values, reference_forms, values_in_use
 from weftgraph.llm.components import consolidate_pairs
 from weftgraph.llm.mixing import mix, shares
 from weftgraph.llm.names import same_name_pairs, same_names
@@ -16,6 +16,7 @@ from weftgraph.llm.spampages import page_shares, spam_pages
 from weftgraph.llm.survivor import golden_records, survivors
 from weftgraph.llm.tokens import with_token_counts
 from weftgraph.llm.vectors import similar_pairs, similar_vectors
+from weftgraph.runtime import cut
 from weftgraph.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,22 +51,27 @@ def p3_golden(spark: SparkSession, folder: str) -> DataFrame:
     return golden_records(v, "group_id", "version_id", ["name", "description", "aliases"], "trust", "seen_at")
 
 
-def _type_forms(spark: SparkSession, folder: str) -> DataFrame:
-    ref = load(spark, folder, "type_ref")
-    return reference_forms(ref, "type_id", ["type_name", "known_forms", "gloss"], type_words(spark, ref, "type_id", "type_name"))
+def _type_forms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Forms of ``type_ref`` and those that the records of ``entity`` use for the same things; values used for several."""
+    ref, columns = load(spark, folder, "type_ref"), ["type_name", "known_forms", "gloss"]
+    e = load(spark, folder, "entity", "entity_id", "type", "name", "aliases")
+    used = cut(values_in_use(e, "entity_id", "type", "name", "aliases", reference_forms(ref, "type_id", columns)))
+    return reference_forms(ref, "type_id", columns, used.where("entry is not null")), used.where("entry is null")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     e = load(spark, folder, "entity", "entity_id", "type")
     exact = load(spark, folder, "type_ref").select(F.col("type_name").alias("type"))
     free = e.where(F.col("type").rlike(r"(?U)[^\s\u200b]")).join(exact, "type", "left_anti")
-    mapped = map_column(free, "type", _type_forms(spark, folder))
+    forms, never = _type_forms(spark, folder)
+    mapped = map_column(free, "type", forms, never=never)
     return mapped.select("entity_id", F.coalesce("entry", F.lit(0)).cast("int").alias("type_id")).distinct()
 
 
 def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     """Report: every different value with its entry, 0 if unmatched, and the score."""
-    found = map_values(load(spark, folder, "entity", "type"), "type", _type_forms(spark, folder))
+    forms, never = _type_forms(spark, folder)
+    found = map_values(load(spark, folder, "entity", "type"), "type", forms, never=never)
     return found.select("type", F.coalesce("entry", F.lit(0)).cast("int").alias("type_id"), "form", F.round("score", 6).alias("score"))
 
 
