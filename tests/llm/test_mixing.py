@@ -51,3 +51,9 @@ def test_seeded(spark):
 def test_empty(spark):
     assert len(run(spark, [], [("a", 1.0, 1)])[0]) == 0
     assert len(run(spark, DOCS, [(None, 1.0, 1), ("a", 0.0, 1)])[0]) == 0
+
+
+def test_many_sources(spark):
+    docs = [(i, f"s{i % 12_000}", 3) for i in range(24_000)]
+    got, shares = run(spark, docs, [(f"s{i}", 1 / 12_000, 1) for i in range(12_000)])
+    assert got["source"].nunique() == 12_000 and (shares["most_repeats"] == 1).all()

@@ -72,3 +72,10 @@ def test_summary(spark):
     specs = spark.createDataFrame([(1, 10)], "no int, cap int")
     r = P.pack_summary(P.pack_items(items, specs, "d", "n", "no", "cap"), specs, "no", "cap").first()
     assert (r["containers"], r["units"], r["unused"], r["least_containers"]) == (2, 15, 5, 2)
+
+
+def test_a_length_with_very_many_items(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANK_BLOCK", 4)
+    got, _ = run(spark, [(i, 3) for i in range(300)] + [(400 + i, 1 + i % 9) for i in range(90)], ((1, 10),))
+    full = got.groupby("container").agg(used=("size", "sum"), unused=("unused", "first"))
+    assert len(got) == 390 and (full["used"] + full["unused"] == 10).all() and sorted(full.index) == list(range(len(full)))

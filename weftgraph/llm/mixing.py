@@ -13,13 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.packing import best_fill
-from weftgraph.operators.skew import spread_rank
+from weftgraph.operators.skew import skew_safe_lookup, spread_rank
 from weftgraph.runtime import cut
 
 #: The dynamic programme closes a gap of at most so many tokens.
 WINDOW = 1 << 16
-#: A mix names at most so many sources (the targets are read by the driver).
-MAX_SOURCES = 10_000
 
 
 def fit_budget(histogram: dict[int, int], budget: int, window: int = WINDOW) -> dict[int, int]:
@@ -48,23 +46,18 @@ def fit_budget(histogram: dict[int, int], budget: int, window: int = WINDOW) ->
     return {n: k for n, k in take.items() if k}
 
 
-def budgets(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, tuple[int, int, int]]:
-    """(budget, whole passes, rest of the budget) of each source that has tokens.
+def budgets(have: DataFrame, total: int | None = None) -> DataFrame:
+    """``have`` (``source``, ``tokens``, ``w``, ``r``) with ``passes`` and ``rest``: whole passes over each source and the rest of its budget.
 
-    Without ``total`` the mix is as large as it can be while every source that has documents can still meet its share.
-    With ``total``, sources that fall short give all they may.
+    Without ``total`` the mix is as large as it can be while every source can still meet its share. With ``total``, sources
+    that fall short give all they may.
     """
-    can = {s: (share, reps) for s, (share, reps) in targets.items() if available.get(s) and share > 0 and reps > 0}
-    if not can:
-        return {}
-    whole = sum(share for share, _ in can.values())
-    if total is None:
-        total = int(min(available[s] * reps * whole / share for s, (share, reps) in can.items()))
-    out = {}
-    for s, (share, reps) in can.items():
-        b = min(int(round(total * share / whole)), available[s] * reps)
-        out[s] = (b, b // available[s], b % available[s])
-    return out
+    whole = have.agg(F.sum("w").alias("whole"))
+    most = have.crossJoin(whole).agg(F.floor(F.min(F.col("tokens") * F.col("r") * F.col("whole") / F.col("w"))).alias("total"), F.first("whole").alias("whole"))  # one row
+    wanted = F.col("total") if total is None else F.lit(total)
+    budget = F.least(F.round(wanted * F.col("w") / F.col("whole")).cast("bigint"), F.col("tokens") * F.col("r"))
+    out = have.crossJoin(most).withColumn("b", budget)  # one row of totals
+    return out.select("source", F.expr("b div tokens").alias("passes"), F.expr("b % tokens").alias("rest"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: str, share: str, repeat: str, total: int | None = None, seed: int = 20) -> DataFrame:
@@ -73,24 +66,23 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: str, s
     ``docs``: one row per document with its exact length. Documents without a source, of a source without a target, or of
     length 0 or null are never chosen; a target without documents is met with nothing and its share goes to the others in
     proportion. No document is used more than ``repeat`` times. A source listed twice keeps its first target by order of
-    share and repeat. Empty tables give no rows.
+    share and repeat. Any number of sources may be named. Empty tables give no rows.
     """
-    rows = targets.select(F.col(source).alias("s"), F.col(share).cast("double").alias("w"), F.col(repeat).cast("bigint").alias("r")).where("s is not null and w > 0 and r > 0").groupBy("s").agg(F.min(F.struct("w", "r")).alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the target")
-    want = {r["s"]: (r["t"]["w"], r["t"]["r"]) for r in rows}
-    slim = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size")).where(F.col("source").isin(list(want)) & (F.col("size") > 0))
+    want = targets.select(F.col(source).alias("source"), F.col(share).cast("double").alias("w"), F.col(repeat).cast("bigint").alias("r")).where("source is not null and w > 0 and r > 0")
+    want = want.groupBy("source").agg(F.min(F.struct("w", "r")).alias("t")).select("source", "t.w", "t.r")
+    slim = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size")).where("size > 0 and source is not null")
+    slim = skew_safe_lookup(slim, want, "source").where("w is not null").select("doc", "source", "size")
     hist = cut(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    have = {r["source"]: r["a"] for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("a")).collect()}
-    plan = budgets(have, want, total)
+    have = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens")).join(want, "source")
+    plan = hist.join(cut(budgets(have, total)), "source")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, passes, rest = plan[pdf["source"].iloc[0]]
+        rest = int(pdf["rest"].iloc[0])
         take = fit_budget(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), rest) if rest else {}
-        return pdf[["source", "size"]].assign(passes=passes, extra=[take.get(n, 0) for n in pdf["size"].tolist()])
+        return pdf[["source", "size", "passes"]].assign(extra=[take.get(n, 0) for n in pdf["size"].tolist()])
 
     # a group is the source's histogram: as many rows as it has different lengths
-    counts = cut(hist.groupBy("source").applyInPandas(run, "source string, size bigint, passes bigint, extra bigint"))
+    counts = cut(plan.groupBy("source").applyInPandas(run, "source string, size bigint, passes bigint, extra bigint"))
     ranked = spread_rank(slim, ["source", "size"], F.xxhash64("doc", F.lit(seed)))
     chosen = ranked.join(counts, ["source", "size"]).withColumn("repeats", F.col("passes") + (F.col("rank") < F.col("extra")).cast("bigint"))
     return chosen.where("repeats > 0").select("doc", "source", "size", "repeats")

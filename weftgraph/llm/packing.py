@@ -9,7 +9,6 @@ length, which no single task computes for a whole length.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +68,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
+#: Ranks within a length that meet the plan under one key.
+RANK_BLOCK = 256
 PLAN_SCHEMA = "pack bigint, length bigint, first_rank bigint, per_container bigint, containers bigint, first_container bigint, unused bigint"
 
 
@@ -94,26 +95,15 @@ def pack_items(items: DataFrame, specs: DataFrame, item: str, size: str, pack: s
         out.insert(0, "pack", pdf["pack"].iloc[0])
         return out
 
-    # at most `capacity` rows of histogram a group; the plan is bounded by the capacity too, never by the items
-    segments = hist.groupBy("pack").applyInPandas(run, PLAN_SCHEMA).toPandas().sort_values(["pack", "length", "first_rank"])
-    key = {p: i for i, p in enumerate(sorted(segments["pack"].unique()))}
-    seg = {c: segments[c].to_numpy(np.int64) for c in segments.columns}
-    groups = {k: (int(v.min()), int(v.max()) + 1) for k, v in pd.Series(np.arange(len(segments))).groupby([seg["pack"], seg["length"]])} if key else {}
-
-    def place(frames):
-        for pdf in frames:
-            out_c, out_u = np.full(len(pdf), -1, np.int64), np.full(len(pdf), -1, np.int64)
-            for (p, n), rows in pdf.groupby(["pack", "size"]).indices.items():
-                lo, hi = groups[(p, n)]
-                rank = pdf["rank"].to_numpy(np.int64)[rows]
-                i = lo + np.searchsorted(seg["first_rank"][lo:hi], rank, side="right") - 1
-                out_c[rows] = seg["first_container"][i] + (rank - seg["first_rank"][i]) // seg["per_container"][i]
-                out_u[rows] = seg["unused"][i]
-            yield pdf.assign(container=out_c, unused=out_u).drop(columns="rank")
-
+    # at most `capacity` rows of histogram a group, and one pattern for each of them, whatever the number of items
+    segments = cut(hist.groupBy("pack").applyInPandas(run, PLAN_SCHEMA))
+    # a segment under each block of ranks that it reaches: a length with very many items meets its plan in many places
+    last = F.expr("first_rank + per_container * containers - 1")
+    reach = segments.withColumn("last_rank", last).withColumn("block", F.explode(F.expr(f"sequence(first_rank div {RANK_BLOCK}, last_rank div {RANK_BLOCK})")))
     ranked = spread_rank(pieces.where("size > 0"), ["pack", "size"], F.xxhash64("item", "piece"))
-    ranked = ranked.select("pack", "item", "piece", "start", "size", "rank")
-    placed = ranked.mapInPandas(place, "pack bigint, item bigint, piece bigint, start bigint, size bigint, container bigint, unused bigint")
+    ranked = ranked.select("pack", "item", "piece", "start", "size", "rank", F.expr(f"rank div {RANK_BLOCK}").alias("block"))
+    placed = ranked.join(reach.withColumnRenamed("length", "size"), ["pack", "size", "block"]).where("rank between first_rank and last_rank")
+    placed = placed.select("pack", "item", "piece", "start", "size", F.expr("first_container + (rank - first_rank) div per_container").alias("container"), "unused")
     none = pieces.where("size <= 0").select("pack", "item", "piece", "start", "size", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("bigint").alias("unused"))
     return placed.unionByName(none)
 
