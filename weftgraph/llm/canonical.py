@@ -88,19 +88,22 @@ def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: floa
     if n_forms:
         idf = forms.select(F.explode(_grams("form")).alias("gram")).groupBy("gram").agg(F.log(1 + F.lit(n_forms) / F.count(F.lit(1))).alias("w"))
         index = cut(_weighted(forms, "form", idf, 0.0).join(forms, "form").withColumn("fn", _norm("g")))
-        posts = index.select(F.explode("g.gram").alias("gram"), "form", "entry", F.col("g").alias("fg"), "fn")
+        posts = index.select(F.explode("g.gram").alias("gram"), "form")
         fuzzy = norms.join(forms.select(F.col("form").alias("norm")), "norm", "left_anti")
         if never is not None:
             fuzzy = fuzzy.join(never.select(F.col("raw").alias("norm")), "norm", "left_anti")
         unseen = F.log(F.lit(1.0 + n_forms))
         known = _weighted(fuzzy, "norm", cut(idf), 0.0).withColumn("g", F.transform("g", lambda x: F.struct(F.when(x["w"] > 0, x["w"]).otherwise(unseen).alias("w"), x["gram"].alias("gram"))))
-        known = known.withColumn("g", F.sort_array("g", asc=False)).withColumn("vn", _norm("g"))
+        known = cut(known.withColumn("g", F.sort_array("g", asc=False)).withColumn("vn", _norm("g")))
         # the lightest n-grams whose part of the norm stays below what counts are not looked up
         light = (F.lit(threshold - margin) * F.col("vn")) ** 2
         rest = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
         heavy = F.filter("g", lambda x, i: rest(i) >= light)
-        asked = known.select("norm", "vn", F.col("g.gram").alias("vg"), F.explode(F.transform(heavy, lambda x: x["gram"])).alias("gram"))
-        hits = asked.join(posts, "gram").dropDuplicates(["norm", "form"])
+        # a value meets many forms, so values are spread over the tasks whatever their bytes; pairs are made distinct before weights join them
+        parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = known.select("norm", F.explode(F.transform(heavy, lambda x: x["gram"])).alias("gram")).repartition(parts, "norm")
+        pairs = asked.join(posts, "gram").select("norm", "form").distinct()
+        hits = pairs.join(known.select("norm", "vn", F.col("g.gram").alias("vg")), "norm").join(index.select("form", "entry", F.col("g").alias("fg"), "fn"), "form")
         dot = F.aggregate("fg", F.lit(0.0), lambda s, x: s + F.when(F.array_contains(F.col("vg"), x["gram"]), x["w"] * x["w"]).otherwise(0.0))
         scored = hits.select("norm", "form", "entry", F.round(dot / (F.col("fn") * F.col("vn")), 6).alias("score")).where(F.col("score") >= threshold - margin)
         per_entry = scored.groupBy("norm", "entry").agg(F.max(F.struct("score", "form")).alias("b"))
