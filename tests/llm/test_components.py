@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from weftgraph.llm import components as C
@@ -35,8 +36,10 @@ def shape(kind):
     return [(rnd.choice([*n, None]), rnd.choice([*n, None]), rnd.choice(["match", "no_match", None, "error"])) for _ in range(260)] + [("solo", "solo", "match"), ("é", "z", "no_match")]
 
 
+@pytest.mark.parametrize("local", [0, 40, C.LOCAL_EDGES])
 @pytest.mark.parametrize("kind", ["chain", "star", "random"])
-def test_against_union_find(spark, kind):
+def test_against_union_find(spark, monkeypatch, kind, local):
+    monkeypatch.setattr(C, "LOCAL_EDGES", local)
     rows = shape(kind)
     assert run(spark, rows) == brute(rows)
 
@@ -47,6 +50,7 @@ def test_hubs_are_met_by_broadcast(spark, monkeypatch):
     for m in (C, skew):
         monkeypatch.setattr(m, "HOT_LEAST", 8)
         monkeypatch.setattr(m, "HOT_PARTS", 4)
+    monkeypatch.setattr(C, "LOCAL_EDGES", 0)
     rows = shape("star") + shape("random")
     assert run(spark, rows) == brute(rows)
 
@@ -54,3 +58,12 @@ def test_hubs_are_met_by_broadcast(spark, monkeypatch):
 def test_empty_and_null(spark):
     assert run(spark, []) == {}
     assert run(spark, [(None, None, "match"), (None, "x", "match")]) == {"x": "x"}
+
+
+def test_arrays_of_a_long_chain():
+    n = 20_000
+    ids = np.random.default_rng(1).permutation(10 * n)[:n].astype(np.int64)
+    v, r = C.contract_arrays(ids[:-1], ids[1:])
+    assert len(v) == n and len(set(r.tolist())) == 1 and set(r.tolist()) <= set(ids.tolist())
+    v, r = C.contract_arrays(np.empty(0, np.int64), np.empty(0, np.int64))
+    assert len(v) == len(r) == 0

@@ -2,12 +2,17 @@
 
 Each round draws a fresh hash order of the vertices; every vertex hooks to the smallest member of its closed
 neighbourhood in that order, edges are relabelled with the hooks, loops and repeats are dropped. A constant share of the
-vertices is expected to vanish per round whatever the shape of the graph, so chains need O(log n) rounds too. At the end
-the rounds' mappings are expanded from the last to the first.
+vertices is expected to vanish per round whatever the shape of the graph, so chains need O(log n) rounds too. Once only
+LOCAL_EDGES edges are left, the remaining rounds run the same steps on arrays in one task, as each would cost more to
+schedule than to compute. At the end the rounds' mappings are expanded from the last to the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,53 @@ from weftgraph.operators.skew import HOT_LEAST, HOT_PARTS, skew_safe_lookup
 from weftgraph.runtime import cut
 
 
+#: So many edges (half a megabyte) are contracted to the end by one task.
+LOCAL_EDGES = 32_768
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of ``x`` (multiplications and shifts of splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def contract_arrays(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``v``, ``r`` as of ``contract`` for edges in arrays: the same rounds of hooks, relabelling and repeats dropped."""
+    v = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(v, a), np.searchsorted(v, b)
+    top, seed = np.arange(len(v)), 0
+    while True:
+        edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        if not len(edges):
+            return v, v[top]
+        a, b = edges[:, 0], edges[:, 1]
+        order = np.argsort(_mixed(v, seed), kind="stable")
+        place = np.empty(len(v), np.int64)
+        place[order] = np.arange(len(v))
+        least = place.copy()
+        np.minimum.at(least, a, place[b])
+        np.minimum.at(least, b, place[a])
+        hook = order[least]
+        top, a, b = hook[top], hook[a], hook[b]
+        seed += 1
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """``contract`` of at most LOCAL_EDGES edges, in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            all_edges = pd.concat(held)
+            v, r = contract_arrays(all_edges["a"].to_numpy(np.int64), all_edges["b"].to_numpy(np.int64))
+            yield pd.DataFrame({"v": v, "r": r})
+
+    return edges.select("a", "b").coalesce(1).mapInPandas(run, "v bigint, r bigint")
+
+
 def _relabel(edges: DataFrame, hooks: DataFrame, end: str, hot: list[int]) -> DataFrame:
     """``edges`` with ``end`` replaced by its hook; vertices of very high degree (``hot``, bounded) meet theirs by broadcast."""
     h = hooks.select(F.col("v").alias(end), F.col("r").alias("__r"))
@@ -39,7 +91,7 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     current = cut(canon(edges.select("a", "b")))
     left = current.count()
     rounds: list[DataFrame] = []
-    while left:
+    while left > LOCAL_EDGES:
         if len(rounds) >= max_rounds:
             raise RuntimeError(f"{left} edges remain after {max_rounds} rounds")
         seed = F.lit(len(rounds) * 7919 + 17)
@@ -53,9 +105,7 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rounds.append(hooks.select("v", "r"))
         current = cut(canon(_relabel(_relabel(current, hooks, "a", hot), hooks, "b", hot)))
         left = current.count()
-    if not rounds:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("r")).limit(0)
-    total = rounds.pop()
+    total = cut(_finish(current))
     while rounds:
         later = total.select(F.col("v").alias("r"), F.col("r").alias("__top"))
         now = rounds.pop()

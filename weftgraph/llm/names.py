@@ -207,13 +207,13 @@ def block_keys(core: list[str], sig: list[str], ini: list[str], num: str) -> tup
     A candidate shows the letter of its first word, or none. A variant must have that word, a short form or an initial
     of it, so it looks under the letters of all its words and initials, and under none if it has no word."""
     stems: set[tuple[str, str]] = set()
-    for t in sorted(core, key=lambda t: (-len(t), t))[:3]:
+    for t in core:
         stems |= {("a", d) for d in deletions(t)}
     joined = "".join(core)
     if len(core) == 1 and len(joined) >= 9:
         stems |= {("c", d) for d in deletions(joined)}
-    elif len(core) == 2:
-        stems |= {("c", d) for d in deletions(joined)} | {("c", f"{core[1]}{core[0]}")}
+    elif len(core) > 1:
+        stems |= {("c", d) for d in deletions(joined)} | {("c", "".join(reversed(core)))}
     first = sig[0][:1] if sig else ""
     letters = {w[:1] for w in [*sig, *ini]} - {first}
     return sorted(f"{k}{num}|{first}|{d}" for k, d in stems), sorted(f"{k}{num}|{x}|{d}" for k, d in stems for x in letters)
