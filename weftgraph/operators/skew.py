@@ -18,17 +18,18 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     return counts.where(F.col("__n") > max(HOT_LEAST, total // HOT_PARTS)).select(key)
 
 
-def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+def skew_safe_lookup(big: DataFrame, small: DataFrame, key: str, rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Left join of ``big`` with ``small``, which has each key once.
 
+    ``rows`` and ``hot``, the number of rows and the keys above the bound, are counted unless the caller knows them.
+
     Rows with a hot key meet the few lookup rows of hot keys in a broadcast join (fewer than HOT_PARTS rows); all
     others meet in a shuffled join, where no key has more than 1/HOT_PARTS of the rows. Null keys find nothing.
     Columns of ``small`` other than the key must not occur in ``big``.
     """
-    total = rows if rows is not None else big.count()
-    if total <= HOT_LEAST:
-        return big.join(small, key, "left")
-    hot = [r[0] for r in hot_keys(big, key, total).collect()]  # fewer than HOT_PARTS keys
+    if hot is None:
+        total = rows if rows is not None else big.count()
+        hot = [r[0] for r in hot_keys(big, key, total).collect()] if total > HOT_LEAST else []  # fewer than HOT_PARTS keys
     if not hot:
         return big.join(small, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
