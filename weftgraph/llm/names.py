@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import contract
-from weftgraph.operators.skew import skew_safe_lookup
+from weftgraph.operators.skew import HOT_LEAST, HOT_PARTS, skew_safe_lookup
 from weftgraph.runtime import cut
 
 # Words around a name that say nothing about which one is meant.
@@ -206,25 +206,36 @@ def block_keys(core: list[str], sig: list[str], ini: list[str], num: str) -> tup
 
     A candidate shows the letter of its first word, or none. A variant must have that word, a short form or an initial
     of it, so it looks under the letters of all its words and initials, and under none if it has no word."""
-    stems: set[tuple[str, str]] = set()
+    stems: set[str] = set()
     for t in core:
-        stems |= {("a", d) for d in deletions(t)}
+        stems |= {"a" + d for d in deletions(t)}
     joined = "".join(core)
-    if len(core) == 1 and len(joined) >= 9:
-        stems |= {("c", d) for d in deletions(joined)}
-    elif len(core) > 1:
-        stems |= {("c", d) for d in deletions(joined)} | {("c", "".join(reversed(core)))}
+    if len(core) > 1:
+        stems |= {"c" + d for d in deletions(joined)} | {"c" + "".join(reversed(core))}
+    elif len(joined) >= 9:
+        stems |= {"c" + d for d in deletions(joined)}
     first = sig[0][:1] if sig else ""
     letters = {w[:1] for w in [*sig, *ini]} - {first}
-    return sorted(f"{k}{num}|{first}|{d}" for k, d in stems), sorted(f"{k}{num}|{x}|{d}" for k, d in stems for x in letters)
+    return [f"{num}|{first}|{s}" for s in stems], [f"{num}|{x}|{s}" for s in stems for x in letters]
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 17)
+def _letters(t: str) -> int:
+    """The letters of ``t`` as bits of a small set."""
+    m = 0
+    for c in t:
+        m |= 1 << (ord(c) & 31)
+    return m
+
+
+@lru_cache(maxsize=1 << 17)
 def _osa(a: str, b: str, most: int) -> int:
     """Edit distance with neighbouring letters swapped as one edit; anything above ``most`` is most + 1."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    x, y = _letters(a), _letters(b)
+    # one edit takes away one letter and brings one at most (two for one in the look-alikes below, of which most >= 2 allows one)
+    if abs(len(a) - len(b)) > most or (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
         return most + 1
     if a.replace("rn", "m").replace("ph", "f") == b.replace("rn", "m").replace("ph", "f"):  # look or sound alike
         return 1
@@ -328,6 +339,7 @@ def channel_cost(v: tuple, c: tuple) -> float:
     return cost + _sig_cost(v[1], c[1], ini, c[0])
 
 
+@lru_cache(maxsize=1 << 17)
 def _unpack(s: str) -> tuple:
     core, sig, ini, num = s.split("|")
     return core.split(), sig.split(), ini.split(), num
@@ -337,7 +349,7 @@ PARSED = "core string, sig string, ini string, num string, strong boolean"
 
 
 def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[DataFrame, DataFrame]:
-    """(records, forms): ``rec, norm, is_name`` for every strong spelling of a record, and ``norm, freq`` of each form.
+    """(records, forms): ``rec, norm, is_name`` for every strong spelling of a record, and ``norm, freq, typed`` of each form.
 
     ``norm`` is ``core|words|initials|numeral``, equal for all spellings that differ in case, accents, order, titles,
     legal form or marks only.
@@ -369,7 +381,10 @@ def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[Data
     known = texts.withColumn("p", parsed("cleaned")).select("raw", "p.*")
     order = F.array_join(F.array_sort(F.split("core", " ")), " ")
     known = cut(known.select("raw", F.concat_ws("|", order, "sig", "ini", "num").alias("norm"), F.concat_ws("|", "core", "sig", "ini", "num").alias("typed"), "strong"))
-    recs = skew_safe_lookup(rows, known, "raw").where("strong").select("rec", "norm", "typed", "is_name").distinct()
+    # a spelling that very many records bear: its rows are counted already
+    spelled = texts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["raw"] for r in texts.where(F.col("n") > max(HOT_LEAST, spelled // HOT_PARTS)).select("raw").collect()]  # fewer than HOT_PARTS
+    recs = skew_safe_lookup(rows, known, "raw", spelled, hot).where("strong").select("rec", "norm", "typed", "is_name").distinct()
     recs = cut(recs)
     forms = recs.groupBy("norm").agg(F.count_distinct("rec").alias("freq"), F.min("typed").alias("typed"))
     return recs.select("rec", "norm", "is_name").distinct(), forms
@@ -396,12 +411,12 @@ def in_parts(block: DataFrame) -> DataFrame:
 def attach(forms: DataFrame) -> DataFrame:
     """``a``, ``b``: every form with its canonical form of maximum posterior, where one is likely enough."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<k:array<string>,as_c:boolean>>")
     def keys(typed: pd.Series) -> pd.Series:
         out = []
-        for s in typed:
-            both, more = block_keys(*_unpack(s))
-            out.append(both + ["~" + k for k in more])  # marked: as a variant only
+        for t in typed:
+            both, more = block_keys(*_unpack(t))
+            out.append([{"k": both, "as_c": True}, {"k": more, "as_c": False}] if more else [{"k": both, "as_c": True}])
         return pd.Series(out)
 
     # words must agree, so their hash goes along; 0 where short forms or initials may still stand for others
@@ -409,28 +424,29 @@ def attach(forms: DataFrame) -> DataFrame:
     loose = part[1].contains("/") | (part[2] != "")
     words = F.when(loose, F.lit(0)).otherwise(F.hash(part[1]))
     # one shuffle serves the sizes and the rows, as both read all its columns
-    keyed = forms.select("id", words.alias("w"), F.explode(keys("typed")).alias("k")).select(F.xxhash64(F.ltrim("k", F.lit("~"))).alias("key"), "id", "w", (~F.col("k").startswith("~")).alias("as_c")).repartition("key")
+    seen = forms.select("id", words.alias("w"), F.explode(keys("typed")).alias("s")).select("id", "w", "s.as_c", F.explode("s.k").alias("k"))
+    keyed = seen.select(F.xxhash64("k").alias("key"), "id", "w", "as_c").repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("any"), F.max("as_c").alias("met")).where("lo <> hi and any is not null and met")
-    block = cut(keyed.join(sizes.select("key", "n"), "key"))
-    said = F.size(F.split(F.regexp_replace(F.regexp_replace("typed", r"\|[^|]*\|[^|]*$", ""), r"\|", " "), " "))
-    info = cut(forms.select("id", "freq", "typed", said.alias("words")))
+    # the keys that matter are fewer than the rows: a hash table of each partition's part of them, without a sort
+    block = cut(keyed.join(sizes.select("key", "n").hint("shuffle_hash"), "key"))
+    core, sig, ini, num = (F.split("typed", r"\|")[i] for i in range(4))
+    said = F.size(F.split(F.concat_ws(" ", core, sig), " "))
+    info = cut(forms.select("id", "freq", "typed", said.alias("words"), sig.alias("sig"), num.alias("num"), sig.contains("/").alias("open"), (ini != "").alias("ini")))
     small = block.where(F.col("n") <= BLOCK).select("key", "id", "w", F.lit(True).alias("as_v"), "as_c")
     split = small.unionByName(in_parts(block.where(F.col("n") > BLOCK)))
     v, c = split.where("as_v").select("key", F.col("id").alias("v"), F.col("w").alias("wv")), split.where("as_c").select("key", F.col("id").alias("c"), F.col("w").alias("wc"))
     pairs = v.join(c, "key").where("v <> c and (wv = wc or wv = 0 or wc = 0)").select("v", "c").distinct()
-    of_v, of_c = info.select(F.col("id").alias("v"), F.col("freq").alias("vf"), F.col("typed").alias("vt"), F.col("words").alias("vw")), info.select(F.col("id").alias("c"), "freq", F.col("typed").alias("ct"), F.col("words").alias("cw"))
-    # a candidate is at least as frequent as the variant, or says more
-    pairs = pairs.join(of_v, "v").join(of_c, "c").where("cw > vw or freq >= vf")
+    renamed = lambda p: info.select(*[F.col(x).alias(p if x == "id" else p + x) for x in info.columns])
+    # a candidate is at least as frequent as the variant, or says more; words that differ can only be short forms or stand for initials
+    pairs = pairs.join(renamed("v"), "v").join(renamed("c"), "c").where("cwords > vwords or cfreq >= vfreq")
+    likely = pairs.where("vnum = cnum and (vsig = csig or vopen or copen or vini)")
 
     @F.pandas_udf("double")
     def cost(vt: pd.Series, ct: pd.Series) -> pd.Series:
         return pd.Series([channel_cost(_unpack(a), _unpack(b)) for a, b in zip(vt, ct, strict=True)])
 
-    v_part, c_part = F.split("vt", r"\|"), F.split("ct", r"\|")
-    # words that differ can only be short forms or stand for initials: most other pairs end here
-    agree = (v_part[1] == c_part[1]) | v_part[1].contains("/") | c_part[1].contains("/") | (v_part[2] != "")
-    scored = pairs.where((v_part[3] == c_part[3]) & agree).withColumn("cost", cost("vt", "ct")).where(F.col("cost") <= MOST_COST)
-    posterior = F.log(F.col("freq")) - LAMBDA * F.col("cost")
+    scored = likely.withColumn("cost", cost("vtyped", "ctyped")).where(F.col("cost") <= MOST_COST)
+    posterior = F.log(F.col("cfreq")) - LAMBDA * F.col("cost")
     best = scored.groupBy("v").agg(F.max(F.struct(posterior.alias("p"), (-F.col("c")).alias("neg"))).alias("m"))
     return best.select(F.col("v").alias("a"), (-F.col("m.neg")).alias("b"))
 
@@ -443,8 +459,7 @@ def same_names(df: DataFrame, record: str, name: str, aliases: str) -> DataFrame
     """
     recs, forms = spellings(df, record, name, aliases)
     forms = cut(forms.withColumn("id", F.monotonically_increasing_id()))
-    ids = forms.select("norm", "id")
-    of = cut(recs.join(ids, "norm").select("rec", "id", "is_name"))
+    of = cut(recs.join(forms.select("norm", "id"), "norm").select("rec", "id", "is_name"))
     # an alias is too general if the names beside it begin in many ways
     head = F.substring("norm", 1, 2)
     named = of.where("is_name").join(forms.select("id", head.alias("head")), "id").select("rec", F.col("id").alias("name_id"), "head")
