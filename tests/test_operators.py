@@ -237,3 +237,35 @@ def test_duplicates_with_other_spellings_are_merged(spark):
     name, canonical = sorted(want)[0]
     edges = spark.createDataFrame([(name, "other", "R"), (canonical, "other", "R"), (name, canonical, "R")], "source string, target string, rel_type string")
     assert [tuple(r) for r in S.rewrite_edges(edges, S.duplicate_aliases(pairs)).collect()] == [(canonical, "other", "R")]
+
+
+def test_nearest_in_groups_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(S, "PART_ROWS", 7)
+    rng = np.random.default_rng(4)
+    v = [(i, [float(x) for x in np.round(rng.normal(size=3), 1)], "a" if i % 3 else "b") for i in range(60)] + [(90, None, "a"), (91, [1.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(v, "i bigint, v array<float>, g string")
+    got = {tuple(r) for r in S.nearest_in_groups(df, F.expr("i % 4 = 0"), "i", "v", "g", 3, 2).select("query", "id", "rank").collect()}
+    unit = {i: np.array(x, np.float32).astype(float) / np.linalg.norm(np.array(x, np.float32).astype(float)) for i, x, g in v if x and g and any(x)}
+    want = set()
+    for i, _, g in v:
+        if i in unit and i % 4 == 0:
+            order = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j, _, h in v if j in unit and j != i and h == g)
+            want |= {(i, j, r + 1) for r, (_, j) in enumerate(order[:2])}
+    assert got == want
+    assert S.nearest_in_groups(df.limit(0), F.expr("i % 4 = 0"), "i", "v", "g", 3, 2).count() == 0
+
+
+def test_a_hub_of_a_third_of_all_edges(spark, monkeypatch):
+    from weftgraph.operators import skew
+
+    edges = [("hub", f"n{i}", "R") for i in range(40)] + [(f"n{i}", f"m{i}", "R") for i in range(40)] + [(f"m{i}", f"k{i}", "S") for i in range(40)]
+    df, seeds = spark.createDataFrame(edges, "source string, target string, rel_type string"), spark.createDataFrame([("hub",), ("k3",), ("alone",)], "name string")
+    plain = rows(G.frontier(seeds, df, 2)), rows(G.one_hop(seeds, df)), rows(G.label_propagation(G.edge_weights(df), 2))
+    for m in (G, skew):
+        monkeypatch.setattr(m, "HOT_LEAST", 5)
+    monkeypatch.setattr(skew, "HOT_PARTS", 8)
+    assert G.hot_nodes(G.adjacency(df)) == ["hub"]
+    assert (rows(G.frontier(seeds, df, 2)), rows(G.one_hop(seeds, df)), rows(G.label_propagation(G.edge_weights(df), 2))) == plain
+    assert ("alone", None, None) in plain[1] and len(plain[0]) == 3 + 40 + 40

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.skew import skew_safe_lookup
+from weftgraph.operators.skew import HOT_LEAST, hot_keys, skew_safe_lookup
 from weftgraph.runtime import cut
 
 
@@ -28,17 +28,27 @@ def degrees(*ends: DataFrame) -> DataFrame:
 
 def one_hop(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """``seed``, ``other``, ``rel_type``: distinct neighbours in either direction; seeds without any keep a row of nulls."""
+    s = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
     adj = adjacency(edges).select("node", "other", "rel_type")
-    return seeds.select(F.col(seeds.columns[0]).alias("seed")).join(adj, F.col("seed") == adj.node, "left").select("seed", "other", "rel_type").distinct()
+    # a hub's edges meet its one seed row by broadcast
+    near = skew_safe_lookup(adj, s.select(F.col("seed").alias("node"), "seed"), "node").where("seed is not null").select("seed", "other", "rel_type").distinct()
+    return near.unionByName(s.join(near.select("seed").distinct(), "seed", "left_anti").select("seed", F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("rel_type")))
+
+
+def hot_nodes(adj: DataFrame) -> list:
+    """Nodes with so many edges that they are met by broadcast: fewer than HOT_PARTS."""
+    n = adj.count()
+    return [r[0] for r in hot_keys(adj, "node", n).collect()] if n > HOT_LEAST else []
 
 
 def frontier(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``node``, ``depth``: every node within ``hops`` edges of a seed, with its least distance. One join per hop."""
     adj = cut(adjacency(edges).select("node", "other").distinct())
+    hubs = hot_nodes(adj)
     seen = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, hops + 1):
-        step = front.select("node").join(adj, "node").select(F.col("other").alias("node")).distinct()
+        step = skew_safe_lookup(adj, front.select("node", F.lit(1).alias("__in")), "node", hot=hubs).where("__in = 1").select(F.col("other").alias("node")).distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
     return seen
@@ -95,8 +105,9 @@ def label_propagation(weights: DataFrame, rounds: int = 5) -> DataFrame:
     counting one; ties go to the smallest label."""
     adj = cut(weights.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(weights.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")))
     labels = cut(adj.select("node").distinct().withColumn("community", F.col("node")))
+    hubs = hot_nodes(adj)  # the same on both sides, as every edge is there in both directions
     for _ in range(rounds):
-        votes = adj.join(labels.select(F.col("node").alias("other"), "community"), "other").select("node", "community", "weight")
+        votes = skew_safe_lookup(adj, labels.select(F.col("node").alias("other"), "community"), "other", hot=hubs).select("node", "community", "weight")
         votes = votes.unionByName(labels.select("node", "community", F.lit(1.0).alias("weight")))
         tally = votes.groupBy("node", "community").agg(F.sum("weight").alias("w"))
         best = tally.groupBy("node").agg(F.max("w").alias("top"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.skew import skew_safe_lookup
+from weftgraph.runtime import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -38,11 +41,12 @@ def bm25(docs: DataFrame, doc: str, tokens: str, queries: DataFrame, query: str,
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
     asked = queries.select(F.col(query).alias("query"), F.explode(terms).alias("term"))
     post = sized.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    post = post.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+    post = cut(post.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf")))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = post.join(df, "term").crossJoin(stats).withColumn("w", weight)  # one row of statistics
+    # a term that very many documents hold meets its one row of counts by broadcast
+    scored = skew_safe_lookup(post, df, "term").crossJoin(stats).withColumn("w", weight)  # one row of statistics
     hits = asked.join(scored, "term").groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

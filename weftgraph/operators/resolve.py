@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.pyfuncs import name_block_keys, name_similarity, name_words
 from weftgraph.functions.text import block_keys, entity_type
 from weftgraph.functions.vectors import usable_vector
 from weftgraph.operators.graph import connected_components
+from weftgraph.operators.skew import skew_safe_lookup
 from weftgraph.runtime import cut
 
 NAME_THRESHOLD, COSINE_THRESHOLD = 0.87, 0.93
@@ -26,43 +27,12 @@ def blocked_pairs(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def within_groups(df: DataFrame, id_col: str, vec: str, group: str, dim: int, least: float) -> DataFrame:
-    """``left``, ``right``, ``cosine``: pairs of one group with a cosine of at least ``least``; exact, in blocks.
-
-    Groups are cut into blocks of rows, and block meets block of the same group, so a large group is many tasks. Vectors
-    that are not usable are left out. Ids are BIGINT and unique.
-    """
-    rows = 2048
-
-    def pack(frames):
-        held: dict[str, list] = {}
-
-        def out(g: str, part: list) -> pd.DataFrame:
-            return pd.DataFrame({"g": [g], "ids": [[r[0] for r in part]], "vecs": [np.array([r[1] for r in part], np.float64).tobytes()]})
-
-        for pdf in frames:
-            for g, i, v in zip(pdf["g"], pdf["id"], pdf["v"], strict=True):
-                held.setdefault(g, []).append((i, v))
-                if len(held[g]) == rows:
-                    yield out(g, held.pop(g))
-        for g, part in held.items():
-            yield out(g, part)
+    """``left``, ``right``, ``cosine``: pairs of one group with a cosine, rounded to 6 decimals, of at least ``least``; exact.
 
+    See ``close_in_groups`` for how a large group becomes many tasks. Vectors that are not usable are left out. Ids are
+    BIGINT and unique."""
     slim = df.where(usable_vector(F.col(vec), dim)).select(F.col(group).cast("string").alias("g"), F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("v"))
-    blocks = slim.mapInPandas(pack, "g string, ids array<bigint>, vecs binary").withColumn("bk", F.col("ids")[0])
-
-    def meet(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                a, b = np.asarray(r.ids_a, np.int64), np.asarray(r.ids_b, np.int64)
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (r.vecs_a, r.vecs_b))
-                x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-                s = np.round(x @ y.T, 6)
-                i, j = np.nonzero((s >= least) & ((a[:, None] < b[None, :]) if r.same else np.ones(s.shape, bool)))
-                yield pd.DataFrame({"left": np.minimum(a[i], b[j]), "right": np.maximum(a[i], b[j]), "cosine": s[i, j]})
-
-    x, y = blocks.toDF("g", "ids_a", "vecs_a", "bk_a"), blocks.toDF("g", "ids_b", "vecs_b", "bk_b")
-    pairs = x.join(y, "g").where("bk_a <= bk_b").withColumn("same", F.expr("bk_a = bk_b")).drop("bk_a", "bk_b", "g")
-    return pairs.mapInPandas(meet, "left bigint, right bigint, cosine double")
+    return close_in_groups(slim, least - 1e-6).withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
 
 
 def close_in_groups(df: DataFrame, least: float) -> DataFrame:
@@ -105,6 +75,40 @@ def close_in_groups(df: DataFrame, least: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(scan, "left bigint, right bigint, cosine double")
 
 
+def nearest_in_groups(df: DataFrame, asks: Column, id_col: str, vec: str, group: str, dim: int, k: int) -> DataFrame:
+    """``query``, ``id``, ``score``, ``rank``: the exact ``k`` nearest others of its group for each row of ``asks``.
+
+    Queries and rows of a group are cut into parts, and part meets part in a cell of bounded size, so only queries are
+    compared and a large group is many tasks. Cosines in double precision, rounded to 6 decimals; ties go to the smaller id.
+    Vectors that are not usable are left out on both sides. Ids are BIGINT and unique.
+    """
+    slim = df.where(usable_vector(F.col(vec), dim)).select(F.col(group).cast("string").alias("g"), F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    parts = slim.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("m"), F.ceil(F.count_if("asks") / PART_ROWS).alias("mq")).where("mq > 0")
+    at = skew_safe_lookup(slim, parts, "g").where("m is not null").withColumn("h", F.xxhash64("id"))
+    base = at.select("g", "id", "v", F.pmod("h", "m").alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mq") - 1)).alias("s"), F.lit(False).alias("q"))
+    query = at.where("asks").select("g", "id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("p"), F.pmod("h", "mq").alias("s"), F.lit(True).alias("q"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids, q = pdf["id"].to_numpy(np.int64), pdf["q"].to_numpy(bool)
+        a, b = ids[q], ids[~q]
+        out = []
+        for lo in range(0, len(a), 512):
+            score = np.round(x[q][lo : lo + 512] @ x[~q].T, 6) + 0.0
+            score[a[lo : lo + 512, None] == b[None, :]] = -9
+            best = np.lexsort((np.broadcast_to(b, score.shape), -score), axis=1)[:, :k]
+            val = np.take_along_axis(score, best, 1)
+            keep = val > -2
+            out.append(pd.DataFrame({"query": np.broadcast_to(a[lo : lo + 512, None], best.shape)[keep], "id": b[best[keep]], "score": val[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": a, "id": a, "score": a.astype(float)})
+
+    cells = base.unionByName(query).withColumn("cell", F.xxhash64("g", "p", "s")).select("cell", "id", "v", "q")
+    found = cells.groupBy("cell").applyInPandas(meet, "query bigint, id bigint, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def duplicate_pairs(df: DataFrame, record: str, name: str, kind: str, vec: str, dim: int) -> DataFrame:
     """``left``, ``right``, ``kind``, ``cosine``, ``similarity``: different names of one type that share a block key, with a
     cosine of at least COSINE_THRESHOLD and a name similarity of at least NAME_THRESHOLD; the smaller name first, once each.

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from weftgraph.plans import graph, more, resolve, retrieve, score, streams, text
+    from weftgraph.plans import answer, graph, more, resolve, retrieve, score, streams, text
 
-    return [graph, text, resolve, retrieve, score, streams, more]
+    return [graph, text, resolve, retrieve, score, streams, more, answer]
 
 
 def queries() -> dict[str, Query]:

@@ -51,9 +51,7 @@ SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qu
 def vec_topk_within_label(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest of the same label: candidates restricted to each query's own pool."""
     e = load(spark, d, "embeddings", "vec_id", "embedding", "label")
-    w = R.within_groups(e, "vec_id", "embedding", "label", 64, -2.0)
-    q = w.where("left % 50 = 0").select(F.col("left").alias("query"), F.col("right").alias("id"), "cosine").unionByName(w.where("right % 50 = 0").select(F.col("right").alias("query"), F.col("left").alias("id"), "cosine"))
-    return G.top_k(q.select("query", "id", (F.col("cosine") + 0.0).alias("score")), ["query"], [F.desc("score"), "id"], 3)
+    return R.nearest_in_groups(e, F.expr("vec_id % 50 = 0"), "vec_id", "embedding", "label", 64, 3)
 
 
 _PAIRS = f"{_E}, p AS (SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.4)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text as T
 from weftgraph.functions.json import tolerant_extraction
 from weftgraph.functions.pyfuncs import chunker
-from weftgraph.functions.routing import ROUTE_SQL, is_broad, is_global
+from weftgraph.functions.routing import CUE_WORDS, ROUTE_SQL, is_broad, is_global
 from weftgraph.functions.vectors import hash_embedder
 from weftgraph.plans.graph import CHUNKS
 from weftgraph.sources import graphview as V
@@ -97,7 +97,7 @@ def route_query(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.when(is_global(F.col("text")), "global").otherwise("local").alias("route"))
 
 
-@query()
+@query(f"SELECT doc_id, len(list_filter({_TERMS.format('text')}, lambda w: w NOT IN ({_in(CUE_WORDS)}))) = 0 AS broad FROM documents")
 def route_cues(spark: SparkSession, d: str) -> DataFrame:
     """Questions with nothing specific left beside cue words."""
     docs = load(spark, d, "documents", "doc_id", "text")
