@@ -11,6 +11,8 @@ the same, and one whose records are of many kinds means none of the list.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +60,6 @@ def reference_forms(ref: DataFrame, key: str, columns: list[str], more: DataFram
     return forms.groupBy("form").agg(F.min("entry").alias("entry"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def _norm(c: str) -> Column:
-    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-
-
-def _weighted(df: DataFrame, text: str, idf: DataFrame, unseen: float) -> DataFrame:
-    """``text``, ``g``: its n-grams with their weights as an array of (w, gram), heaviest first; ``unseen`` for unknown ones."""
-    grams = df.select(text, F.explode(_grams(text)).alias("gram")).join(idf, "gram", "left").withColumn("w", F.coalesce("w", F.lit(unseen)))
-    return grams.groupBy(text).agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("g"))
-
-
 def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, never: DataFrame | None = None) -> DataFrame:
     """``column``, ``entry`` (null: unmatched), ``form``, ``score`` for every different non-null value of ``column``.
 
@@ -75,9 +67,6 @@ def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: floa
     and lead the best form of any other entry by ``margin`` (ties fail). Blank values, and any value if the list is empty, are
     unmatched. Of forms of one entry with equal scores the greatest is named. The normalised values in ``never`` (``raw``)
     match nothing but a form that they equal.
-
-    Only the heaviest n-grams of a value are looked up: the others are so light that a form which has nothing else in
-    common with the value can't come within ``margin`` of the threshold, so no candidate that counts is lost.
     """
     forms = cut(forms)
     distinct = cut(values.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("norm", normalise(F.col("value"))))
@@ -86,26 +75,22 @@ def map_values(values: DataFrame, column: str, forms: DataFrame, threshold: floa
     exact = norms.join(forms.select(F.col("form").alias("norm"), "entry"), "norm")
     found = exact.select("norm", "entry", F.col("norm").alias("form"), F.lit(1.0).alias("score"))
     if n_forms:
-        idf = forms.select(F.explode(_grams("form")).alias("gram")).groupBy("gram").agg(F.log(1 + F.lit(n_forms) / F.count(F.lit(1))).alias("w"))
-        index = cut(_weighted(forms, "form", idf, 0.0).join(forms, "form").withColumn("fn", _norm("g")))
-        posts = index.select(F.explode("g.gram").alias("gram"), "form")
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")))
+        grams = forms.select("form", F.explode(_grams("form")).alias("gram"))
+        idf = cut(grams.groupBy("gram").agg(F.log(1 + F.lit(n_forms) / F.count(F.lit(1))).alias("w")))
+        posts = cut(grams.join(idf, "gram"))
+        lengths = posts.groupBy("form").agg(length.alias("fn")).join(forms, "form")
         fuzzy = norms.join(forms.select(F.col("form").alias("norm")), "norm", "left_anti")
         if never is not None:
             fuzzy = fuzzy.join(never.select(F.col("raw").alias("norm")), "norm", "left_anti")
-        unseen = F.log(F.lit(1.0 + n_forms))
-        known = _weighted(fuzzy, "norm", cut(idf), 0.0).withColumn("g", F.transform("g", lambda x: F.struct(F.when(x["w"] > 0, x["w"]).otherwise(unseen).alias("w"), x["gram"].alias("gram"))))
-        known = cut(known.withColumn("g", F.sort_array("g", asc=False)).withColumn("vn", _norm("g")))
-        # the lightest n-grams whose part of the norm stays below what counts are not looked up
-        light = (F.lit(threshold - margin) * F.col("vn")) ** 2
-        rest = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-        heavy = F.filter("g", lambda x, i: rest(i) >= light)
-        # a value meets many forms, so values are spread over the tasks whatever their bytes; pairs are made distinct before weights join them
+        # a value meets many forms, so values are spread over the tasks whatever their bytes
         parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        asked = known.select("norm", F.explode(F.transform(heavy, lambda x: x["gram"])).alias("gram")).repartition(parts, "norm")
-        pairs = asked.join(posts, "gram").select("norm", "form").distinct()
-        hits = pairs.join(known.select("norm", "vn", F.col("g.gram").alias("vg")), "norm").join(index.select("form", "entry", F.col("g").alias("fg"), "fn"), "form")
-        dot = F.aggregate("fg", F.lit(0.0), lambda s, x: s + F.when(F.array_contains(F.col("vg"), x["gram"]), x["w"] * x["w"]).otherwise(0.0))
-        scored = hits.select("norm", "form", "entry", F.round(dot / (F.col("fn") * F.col("vn")), 6).alias("score")).where(F.col("score") >= threshold - margin)
+        asked = cut(fuzzy.select("norm", F.explode(_grams("norm")).alias("gram")).repartition(parts, "norm"))
+        unseen = F.lit(math.log(1.0 + n_forms))
+        own = asked.join(idf, "gram", "left").withColumn("w", F.coalesce("w", unseen)).groupBy("norm").agg(length.alias("vn"))
+        hits = asked.repartition(parts, "norm").join(posts, "gram").groupBy("norm", "form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+        scored = hits.join(own, "norm").join(lengths, "form").select("norm", "form", "entry", F.round(F.col("dot") / (F.col("fn") * F.col("vn")), 6).alias("score"))
+        scored = scored.where(F.col("score") >= threshold - margin)
         per_entry = scored.groupBy("norm", "entry").agg(F.max(F.struct("score", "form")).alias("b"))
         order = Window.partitionBy("norm").orderBy(F.desc("b.score"), "entry")
         ranked = per_entry.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("b.score").over(order))
@@ -130,8 +115,10 @@ def values_in_use(df: DataFrame, record: str, column: str, name: str, aliases: s
     A name that a third of all records bear is counted before it meets them.
     """
     both = F.array_distinct(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))
-    rows = df.where(F.col(record).isNotNull() & F.col(column).isNotNull()).select(F.col(record).alias("rec"), normalise(F.col(column)).alias("norm"), F.explode(both).alias("n"))
-    keys = rows.where("norm <> '' and n is not null").select("rec", "norm", _name_key(F.col("n")).alias("k")).where("length(k) > 3")
+    # values are normalised before the names spread them
+    rows = df.where(F.col(record).isNotNull() & F.col(column).isNotNull()).select(F.col(record).alias("rec"), normalise(F.col(column)).alias("norm"), both.alias("names"))
+    keys = rows.where("norm <> ''").select("rec", "norm", F.explode("names").alias("n")).where("n is not null")
+    keys = cut(keys.select("rec", "norm", _name_key(F.col("n")).alias("k")).where("length(k) > 3"))
     total = keys.count()
     known = cut(skew_safe_lookup(keys, forms.select(F.col("form").alias("norm"), "entry"), "norm", total))
     per = known.where("entry is not null").groupBy("k", "entry").agg(F.count_distinct("rec").alias("n"))
