@@ -116,3 +116,18 @@ def test_cells_divide_a_list_of_near_copies():
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     own = V._probes(u, index, 1, 0.0)[:, 0]
     assert np.bincount(own).max() * 3_000_000 / len(x) < 40 * V.LIST_ROWS
+
+
+def test_neighbours_on_both_sides_of_a_border_meet(spark, monkeypatch):
+    """Small groups in many dimensions, more of them than lists: the lists nearest to two neighbours are often different."""
+    monkeypatch.setattr(V, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(V, "LIST_ROWS", 8)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(500, 32)), 6, axis=0) + 0.4 * rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, v array<float>")
+    got = {(r["id"], r["other"]) for r in V.similar_vectors(df, "id", "v", 32, 5, 0.8, nprobe=2).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T - 2 * np.eye(len(u))
+    best = np.argsort(-s, axis=1)[:, :5]
+    want = {(a, int(b)) for a in range(len(u)) for b in best[a] if s[a, b] >= 0.8}
+    assert len(want & got) / len(want) >= 0.9

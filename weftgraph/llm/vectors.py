@@ -5,12 +5,14 @@ list is divided by the residual: every vector belongs to the nearest cell of a c
 (scaled by the list's own spread), with as many cells as bring a list back to LIST_ROWS vectors. So the centroids that have
 to be kept are bounded while the lists go on growing with the rows, and a vector probes a constant number of lists.
 Lists are gathered into buckets, neighbours together (recursive bisection along the main axis), so that the lists a vector
-probes lie in few buckets. One shuffle sends each vector to its home bucket and, as a guest, to the other buckets that hold one
-of its probes, where two buckets meet on one side only: a pair found counts for both of its vectors. A bucket's task encodes the residuals of its members with product quantisers, scans the probed
-lists with asymmetric distance tables and reranks the best candidates exactly, in double precision, against the vectors
-that lie in the same bucket. A last shuffle merges the few results per vector and bucket.
-
-Every row is indexed; only centroids, cells and quantisers are fitted on the sample.
+probes lie in few buckets. A vector is a member of every list it probes, and any two members of a list meet: a pair is missed
+only if none of its vectors' nearest lists is the same, where it used to be missed if neither probed the list nearest to the
+other. One shuffle sends each vector, with the product-quantised residual to its nearest list, to the buckets of its lists. A
+bucket's task scans each list once for both vectors of a pair by the asymmetric distance (the entries of the tables summed as one
+product with the decoded vectors), and compares exactly whatever the quantiser's own error allows to be near enough, at last in
+double precision. A last shuffle merges the few results per vector and bucket.
+
+Every row is indexed; only centroids, cells and quantisers are fitted on the sample, which is drawn from the different vectors.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ BUCKET_LEAST, BUCKET_ROWS = 4_096, 16_384
 #: Vectors whose value occurs more often than max(COPIES_LEAST, rows / COPIES_PARTS) travel once: fewer than COPIES_PARTS.
 COPIES_LEAST, COPIES_PARTS = 256, 1_000
 SUBSPACES, CODES = 8, 256
-#: Candidates whose asymmetric estimate lies further below the least cosine are not reranked.
-SLACK = 0.5
+#: Candidates whose asymmetric estimate lies further below the least cosine are not reranked; in standard errors of the estimate
+#: at a right angle, which are nearly twice those at a cosine of 0.85.
+SLACK = 3.0
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -198,25 +201,39 @@ def _probes(x: np.ndarray, index: dict, nprobe: int, drop: float) -> np.ndarray:
 
 def _routes(index: dict, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where each row goes: (row, bucket, whether it is the row's home, offsets into, lists probed there); at home, the
-    row's own list comes first.
-
-    Two buckets meet on one side only, which the order and parity of their numbers decide: a pair found there counts for
-    both of its vectors, so the other side has nothing to add but probes that one vector makes and the other doesn't."""
+    row's own list comes first."""
     n, k = probes.shape
     kept = np.concatenate([np.ones((n, 1), bool), probes[:, 1:] != probes[:, :1]], 1)
     r, j = np.nonzero(kept)
     lists = probes[r, j]
     to = _bucket(index, lists)
     home = to[np.nonzero(j == 0)[0]]
-    own = home[r]
-    goes = (to == own) | (((to + own) % 2 == 1) == (own < to))
-    r, j, to, lists = r[goes], j[goes], to[goes], lists[goes]
     by = np.lexsort((j, to, r))
     r, to, lists = r[by], to[by], lists[by]
     start = np.nonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (to[1:] != to[:-1])]))[0] if len(r) else np.empty(0, np.int64)
     return r[start], to[start], to[start] == home[r[start]], np.append(start, len(r)), lists
 
 
+def _padded(index: dict, x: np.ndarray) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, index["books"].shape[0] * index["books"].shape[2] - x.shape[1])))
+
+
+def _encode(index: dict, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Product-quantised residuals of ``x`` to the centres of their ``own`` lists."""
+    books = index["books"]
+    width = books.shape[2]
+    resid = _padded(index, x - _centres(index, own))
+    codes = np.empty((len(x), len(books)), np.uint8)
+    for s, b in enumerate(books):
+        codes[:, s] = np.argmax(resid[:, s * width : (s + 1) * width] @ b.T - 0.5 * (b * b).sum(1), axis=1)
+    return codes
+
+
+def _decode(index: dict, codes: np.ndarray, own: np.ndarray, dim: int) -> np.ndarray:
+    """Centre and quantised residual."""
+    return _centres(index, own) + np.concatenate([b[codes[:, s]] for s, b in enumerate(index["books"])], 1)[:, :dim]
+
+
 def _first_of_each(key: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
     """Positions of the ``keep`` highest scores of every key."""
     best = np.lexsort((-score, key))
@@ -224,59 +241,57 @@ def _first_of_each(key: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
     return best[np.arange(len(of)) - np.searchsorted(of, of) < keep]
 
 
-def _scan(index: dict, base: np.ndarray, home: np.ndarray, query: np.ndarray, guest: np.ndarray, r: np.ndarray, lists: np.ndarray, floor: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (query row, base row) by asymmetric distance: query row ``r[i]`` probes ``lists[i]``. At most ``keep``
-    of each query row, and of each base row among the queries that are guests in this bucket."""
-    books = index["books"]
-    width, m = books.shape[2], books.shape[0]
-    pad = m * width - base.shape[1]
-    order = np.argsort(home, kind="stable")
-    here, starts = np.unique(home[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
-    centre = _centres(index, here)
-    resid = np.pad(base[order] - np.repeat(centre, ends - starts, axis=0), ((0, 0), (0, pad)))
-    codes = np.empty((len(base), m), np.uint8)
-    for s in range(m):
-        b = books[s]
-        codes[:, s] = np.argmax(resid[:, s * width : (s + 1) * width] @ b.T - 0.5 * (b * b).sum(1), axis=1)
-    at = np.searchsorted(here, lists)
-    there = here[np.minimum(at, len(here) - 1)] == lists  # lists without members hold nothing
-    r, at = r[there], at[there]
-    by = np.argsort(at, kind="stable")
-    r, at = r[by], at[by]
-    padded = np.pad(query, ((0, 0), (0, pad)))
-    found, found_for = [], []
-    cuts = np.nonzero(np.diff(at))[0] + 1
-    for rows in np.split(np.arange(len(at)), cuts) if len(at) else []:
-        ell = at[rows[0]]
-        lo, hi = starts[ell], ends[ell]
-        step = max(1, 1_000_000 // (hi - lo))
-        for a in range(0, len(rows), step):
-            q = r[rows[a : a + step]]
-            score = np.repeat((query[q] @ centre[ell])[None, :], hi - lo, 0)  # members x queries
-            mine = np.ascontiguousarray(padded[q].T)
-            for s in range(m):
-                score += (books[s] @ mine[s * width : (s + 1) * width])[codes[lo:hi, s]]
-            b, i = np.nonzero(score >= floor)
-            val = score[b, i]
-            if len(b) > keep * len(q):
-                first = _first_of_each(i, val, keep)
-                found.append((q[i[first]], order[lo + b[first]], val[first]))
+def _scan(x: np.ndarray, about: np.ndarray, r: np.ndarray, lists: np.ndarray, least: float | None, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (first < second) that share one of the lists: row ``r[i]`` is a member of ``lists[i]``. ``about`` are the decoded
+    rows. At most ``keep`` of each row; pairs further below ``least`` than single precision explains are left out."""
+    # scaled so that the estimate of a row's cosine with itself is 1: then it has no bias for any other
+    with_own = np.einsum("ij,ij->i", x, about)
+    about = about / np.maximum(with_own, 0.05)[:, None]
+    error = np.sqrt(np.maximum(np.einsum("ij,ij->i", about, about) - 1, 0) / x.shape[1])
+    floor = np.full(len(x), -np.inf) if least is None else np.where(with_own > 0.05, least - SLACK * error - 1e-5, -np.inf)
+    floor = floor.astype(np.float32)
+    by = np.lexsort((r, lists))
+    r, lists = r[by], lists[by]
+    found, held = [], 0
+
+    def reduced() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        q, b, val = (np.concatenate(v) for v in zip(*found, strict=True))
+        _, once = np.unique(q * len(x) + b, return_index=True)
+        q, b, val = q[once], b[once], val[once]
+        best = _first_of_each(np.concatenate([q, b]), np.concatenate([val, val]), keep) % max(1, len(q))
+        best = np.unique(best)
+        return [(q[best], b[best], val[best])]
+
+    for rows in np.split(r, np.nonzero(np.diff(lists))[0] + 1) if len(r) else []:
+        mine, theirs, low = x[rows], about[rows], floor[rows]
+        a = 0
+        while a < len(rows) - 1:
+            z = min(len(rows), a + max(1, min(512, 2_000_000 // (len(rows) - a))))
+            score = mine[a:z] @ theirs[a:].T
+            i, j = np.nonzero(score >= low[a:])
+            later = j > i
+            i, j = i[later], j[later]
+            if len(i) > score.size // 32:  # a dense block: the exact product is cheaper than pair by pair
+                val = (mine[a:z] @ mine[a:].T)[i, j]
             else:
-                found.append((q[i], order[lo + b], val))
-            g = np.nonzero(guest[q[i]])[0]
-            if len(g) > keep * (hi - lo):
-                g = g[_first_of_each(b[g], val[g], keep)]
-            found_for.append((q[i[g]], order[lo + b[g]], val[g]))
+                val = np.einsum("ij,ij->i", mine[a + i], mine[a + j])
+            if least is not None:
+                ok = val >= least - 1e-5
+                i, j, val = i[ok], j[ok], val[ok]
+            if len(i) > keep * (z - a):
+                best = np.unique(np.concatenate([_first_of_each(i, val, keep), _first_of_each(j, val, keep)]))
+                i, j, val = i[best], j[best], val[best]
+            if len(i):
+                found.append((rows[a + i], rows[a + j], val))
+                held += len(i)
+                if held > 4_000_000:
+                    found = reduced()
+                    held = len(found[0][0]) // 2  # what is kept may not be reduced further for a while
+            a = z
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = []
-    for side, of in ((found, 0), (found_for, 1)):
-        q, b, val = (np.concatenate(x) for x in zip(*side, strict=True))
-        first = _first_of_each((q, b)[of], val, keep)
-        pairs.append(q[first] * len(base) + b[first])
-    both = np.unique(np.concatenate(pairs))
-    return both // len(base), both % len(base)
+    q, b, _ = reduced()[0]
+    return q, b
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -300,15 +315,9 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     based = np.zeros(len(first), bool)
     based[cls[is_base]] = True
     b_rows = np.nonzero(based)[0]
-    if not len(b_rows):
-        return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64"})
-    floor = -2.0 if min_cosine is None else min_cosine - SLACK
-    own_list = lists[(np.cumsum(times) - times)[b_rows]]
-    q, b = _scan(index, x[b_rows], own_list, x, ~based, np.repeat(np.arange(len(first)), times), lists, floor, keep)
-    b = b_rows[b]
-    once = np.unique(np.minimum(q, b) * len(first) + np.maximum(q, b))
-    q, b = once // len(first), once % len(first)
-    q, b = q[q != b], b[q != b]
+    codes = pdf["code"].to_numpy(np.int64)[first].view(np.uint8).reshape(-1, SUBSPACES)
+    about = _decode(index, codes, pdf["own"].to_numpy(np.int64)[first], dim)
+    q, b = _scan(x, about, np.repeat(np.arange(len(first)), times), lists, min_cosine, keep)
     cos = np.empty(len(q))
     for a in range(0, len(q), 200_000):
         cos[a : a + 200_000] = np.einsum("ij,ij->i", unit[q[a : a + 200_000]], unit[b[a : a + 200_000]])
@@ -337,7 +346,7 @@ def _search_bucket(index: dict, copies: dict[int, list[int]], k: int, min_cosine
     return pd.concat([_best(out[~out["id"].isin(list(copies))], k), out[out["id"].isin(list(copies))]])
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, min_cosine: float | None = None, nprobe: int = 12, rerank: int = 48, drop: float = 0.25) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, min_cosine: float | None = None, nprobe: int | None = None, rerank: int = 48, drop: float = 0.1) -> DataFrame:
     """The ``k`` most similar other ids of every usable vector: ``id``, ``other``, ``cosine``.
 
     Cosines are computed in double precision and rounded to 6 decimals; of equal ones the smaller id comes first.
@@ -345,15 +354,15 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
     null id are no part of the collection; rows that repeat an id with the same vector count once; different ids with
     equal vectors count separately. Fewer than two usable vectors give no rows.
 
-    Approximate: ``nprobe`` lists per vector are scanned (those farther than ``drop`` behind the nearest are not) and
-    ``rerank`` candidates are compared exactly; recall is measured in the tests and stated in the README. A value that a
+    Approximate: a vector is a member of its ``nprobe`` nearest lists (8, and one more for each doubling beyond 1,024 lists; not of those farther than ``drop`` behind the nearest), where
+    it meets all members; its best ``rerank`` in a bucket go on. Recall is measured in the tests and stated in the README. A value that a
     third of all rows share travels once; a list with very many different vectors is spread over buckets.
     """
     spark = df.sparkSession
     good = df.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     hashed = good.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g"))
     per_value = hashed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    rows = per_value.agg(F.sum("n")).first()[0] or 0
+    rows, values = per_value.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     if rows < 2:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double")
     many = max(COPIES_LEAST, rows // COPIES_PARTS)
@@ -368,15 +377,16 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
         for r in few.collect():  # k + 1 ids for each of the few values
             copies.setdefault(r["least"], []).append(r["id"])
         tagged = good.withColumn("h", F.xxhash64("v")).withColumn("g", F.hash("v")).join(hot_df, ["h", "g"], "left").where("least is null or least = id").select("id", "v")
-    # the sample is drawn by a hash of the vector, so it is the same however the rows are split up
-    most = SAMPLE_PER_LIST * _coarse_lists(rows)  # SAMPLE_PER_LIST * MAX_LISTS at any size
-    share = min(1.0, most / rows)
+    # the sample is drawn by a hash of the vector, so it is the same however the rows are split up, and holds a vector once
+    most = SAMPLE_PER_LIST * _coarse_lists(values)  # SAMPLE_PER_LIST * MAX_LISTS at any size
+    share = min(1.0, most / values)
     drawn = tagged if share >= 1 else tagged.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
-    sample = np.array(drawn.select("v").limit(2 * most).toPandas()["v"].tolist(), np.float64)
+    sample = np.array(drawn.select("v").distinct().limit(2 * most).toPandas()["v"].tolist(), np.float64)
     if not len(sample):
         sample = np.array(tagged.select("v").limit(1).toPandas()["v"].tolist(), np.float64)
     bucket_rows = min(BUCKET_ROWS, max(BUCKET_LEAST, rows // int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    index = train(sample, rows, bucket_rows)
+    index = train(sample, values, max(1, bucket_rows * values // rows))
+    near = nprobe or 8 + max(0, round(math.log2(index["offset"][-1] / 1024)))
     shared = spark.sparkContext.broadcast(index)  # MAX_LISTS centroids and two times 2 ** MAX_DEPTH cells at most, whatever the number of rows
 
     def route(batches: Iterator) -> Iterator:
@@ -393,19 +403,21 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int,
                 raw = np.asarray(part.column(1).flatten(), np.float32).reshape(-1, dim)
                 wide = raw.astype(np.float64)
                 x = (wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]).astype(np.float32)
-                row, to, home, ends, lists = _routes(ix, _probes(x, ix, nprobe, drop))
+                probes = _probes(x, ix, near, drop)
+                code = _encode(ix, x, probes[:, 0]).view(np.int64).ravel()
+                row, to, home, ends, lists = _routes(ix, probes)
                 vec = binary(np.ascontiguousarray(raw[row]), np.arange(len(row) + 1) * 4 * dim)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(home), binary(lists.astype(np.int32), ends * 4), vec], names=["bucket", "id", "base", "lists", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(home), pa.array(probes[row, 0].astype(np.int32)), pa.array(code[row]), binary(lists.astype(np.int32), ends * 4), vec], names=["bucket", "id", "base", "own", "code", "lists", "vec"])
 
     # a partition is a bucket
-    routed = tagged.mapInArrow(route, "bucket bigint, id bigint, base boolean, lists binary, vec binary").repartitionById(index["buckets"], F.col("bucket").cast("int"))
+    routed = tagged.mapInArrow(route, "bucket bigint, id bigint, base boolean, own int, code bigint, lists binary, vec binary").repartitionById(index["buckets"], F.col("bucket").cast("int"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
         if held:
             yield _search_bucket(shared.value, copies, k, min_cosine, rerank, dim, pd.concat(held, ignore_index=True))
 
-    found = routed.select("id", "base", "lists", "vec").mapInPandas(search, "id bigint, other bigint, cosine double")
+    found = routed.select("id", "base", "own", "code", "lists", "vec").mapInPandas(search, "id bigint, other bigint, cosine double")
     found = found.repartition("id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     if not copies:
