@@ -81,3 +81,14 @@ def test_words_are_learned():
     lists = ["\n".join(f"{rnd.choice(sale)} {rnd.choice(nouns)} | https://x{i}.example" for i in range(8)) for _ in range(40)]
     model = S.estimate(pa.array(["\n".join(prose[i : i + 3]) for i in range(0, 300, 3)] + lists))
     assert min(model["odds"][g] for g in glue) > 1 and max(model["odds"][x] for x in sale) < -1
+
+
+def test_all_pages_count(spark):
+    """The counts that Spark sums are those of all pages at once: no page is left out, however many there are."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["ka", "lo", "noun", "verb"]) + str(rnd.randrange(30)) for _ in range(6)) + "." for _ in range(6000)]
+    texts += [f"zap kro {i} | https://x{i}.example" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string").repartition(3)
+    got, want = S.fitted(df), S.estimate(pa.array(texts))
+    assert got["odds"].keys() == want["odds"].keys() and all(abs(got["odds"][w] - v) < 1e-4 for w, v in want["odds"].items())
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got["emit"], want["emit"], strict=True)) and np.allclose(got["step"], want["step"], atol=1e-4)

@@ -5,8 +5,8 @@ language: the density of addresses, that of separators and prices, whether it en
 much of it are words that it repeats itself, how much are words that the page repeats, and how its words divide between
 prose and lists. The hidden states are prose, link list, tag list and menu; prose has two, its sentences and its headings,
 which are short lines that don't follow one another for long. Emissions, transitions and first states start
-from the values below and are re-estimated by soft expectation-maximisation (forward-backward) on a bounded sample of
-pages; between the rounds the words' odds are learned from the labels that the model gives to their pieces, so function
+from the values below and are re-estimated by soft expectation-maximisation (forward-backward) over all pages, whose
+expected counts are summed by Spark; between the rounds the words' odds are learned from the labels that the model gives to their pieces, so function
 words and sales words of any language in the corpus are found, not listed. Viterbi labels every piece of every page; a page
 is flagged if more than half of its words lie in pieces that are not prose.
 """
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 STATES = ("prose", "link_list", "tag_list", "menu")
 #: The label of each hidden state: the last is the headings of prose.
 LABEL_OF = np.array([0, 1, 2, 3, 0])
-#: Pages in the sample that the model is fitted on, at most (about); they are drawn by a hash, whatever their length.
-SAMPLE = 2_000
 ROUNDS, PRIOR_WEIGHT = 3, 100.0
 FLAG_SHARE = 0.5
-#: A word has odds if it occurs so often in the sample, on so many pages.
+#: A word has odds if it occurs so often, on so many pages, and so often for each page of the table, on such a share of them: a
+#: page has few different words, so the words with odds are bounded whatever the number of pages.
 WORD_COUNT, WORD_PAGES, WORD_MOST = 10, 5, 3.0
+WORD_RATE, WORD_SHARE = 1 / 200, 1 / 400
+#: Expected counts are summed as whole numbers of this part, so that their order is of no account.
+UNIT = 1_000_000
 #: Shorter words count as no repetition.
 LONG_WORD = 4
 
@@ -186,55 +188,104 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return e / e.sum((1, 2), keepdims=True)
 
 
-def _word_odds(p: dict, prose: np.ndarray) -> dict[str, float]:
-    """Log odds of prose for the words that occur often enough, on enough pages; ``prose`` is the probability of each piece."""
+def counts(model: dict, texts) -> tuple[list[str], np.ndarray]:
+    """Expected counts over ``texts``, which add up over disjoint ones: keys, and for each (occurrences, expected count, pages).
+
+    A key is a word (expected: in prose) or, after a tab, a place in the model; "\tpages" counts the texts."""
+    p = pieces(texts, model["odds"])
+    z, moves = posteriors(model, p)
+    use, n = p["words"] > 0, len(START)
     k = len(p["vocabulary"])
-    page = np.repeat(np.arange(len(p["offsets"]) - 1), np.diff(p["offsets"]))[p["of"]]
+    page = np.repeat(np.arange(len(texts)), np.diff(p["offsets"]))[p["of"]]
     pages = np.bincount(np.unique(page * max(1, k) + p["coded"]) % max(1, k), minlength=k)
-    whole = np.bincount(p["coded"], minlength=k)
-    good = np.bincount(p["coded"], prose[p["of"]], minlength=k)
-    use = (whole >= WORD_COUNT) & (pages >= WORD_PAGES)
-    if not use.any():
-        return {}
-    a, b = good[use].sum(), (whole - good)[use].sum()
-    odds = np.log((good + 1) / (a + use.sum())) - np.log((whole - good + 1) / (b + use.sum()))
-    return {v: float(np.clip(odds[i], -WORD_MOST, WORD_MOST)) for i, v in enumerate(p["vocabulary"]) if use[i] and v}
+    good = np.bincount(p["coded"], z[:, LABEL_OF == 0].sum(1)[p["of"]], minlength=k)
+    keys = list(p["vocabulary"])
+    rows = [np.stack([np.bincount(p["coded"], minlength=k), good * UNIT, pages], 1)]
+
+    def add(name: str, value: np.ndarray) -> None:
+        keys.extend(f"\t{name} {i}" for i in range(value.size))
+        rows.append(np.stack([np.zeros(value.size), value.ravel() * UNIT, np.zeros(value.size)], 1))
+
+    for f, width in enumerate(WIDTHS):
+        add(f"emit {f}", np.stack([np.bincount(p["features"][use, f], z[use, s], minlength=width) for s in range(n)]))
+    add("step", moves)
+    add("first", z[p["offsets"][:-1][np.diff(p["offsets"]) > 0]].sum(0))
+    keys.append("\tpages")
+    rows.append(np.array([[0, 0, len(texts)]]))
+    return keys, np.rint(np.concatenate(rows)).astype(np.int64)
+
+
+def updated(model: dict, sums: dict[str, tuple[int, int, int]], learn_words: bool) -> dict:
+    """The model that the summed counts give, with START as a prior of PRIOR_WEIGHT pieces. Words keep their odds if not
+    ``learn_words``: the emissions belong to the odds that the features were made with."""
+    base, n = start_model(), len(START)
+
+    def of(name: str, *shape: int) -> np.ndarray:
+        return np.array([sums[f"\t{name} {i}"][1] for i in range(int(np.prod(shape)))], np.float64).reshape(shape) / UNIT
+
+    emit = []
+    for f, width in enumerate(WIDTHS):
+        x = PRIOR_WEIGHT * np.exp(base["emit"][f])
+        if model["odds"] or f < len(WIDTHS) - 1:  # before any word has odds, the last feature says nothing
+            x += of(f"emit {f}", n, width)
+        emit.append(np.log(x / x.sum(1, keepdims=True)))
+    step = PRIOR_WEIGHT * np.exp(base["step"]) + of("step", n, n)
+    first = PRIOR_WEIGHT * np.exp(base["first"]) + of("first", n)
+    step = np.log(step / step.sum(1, keepdims=True))
+    step[-1] = base["step"][-1]
+    odds = model["odds"]
+    if learn_words:
+        pages = sums["\tpages"][2]
+        least, on = max(WORD_COUNT, WORD_RATE * pages), max(WORD_PAGES, WORD_SHARE * pages)
+        words = sorted(w for w, (whole, _, seen) in sums.items() if w and w[0] != "\t" and whole >= least and seen >= on)
+        whole, good = (np.array([sums[w][i] for w in words], np.float64) / (1, UNIT)[i] for i in (0, 1))
+        value = np.log((good + 1) / (good.sum() + len(words))) - np.log((whole - good + 1) / ((whole - good).sum() + len(words))) if words else whole
+        odds = dict(zip(words, np.clip(value, -WORD_MOST, WORD_MOST).tolist(), strict=True))
+    return {"emit": emit, "step": step, "first": np.log(first / first.sum()), "odds": odds}
 
 
 def estimate(texts, rounds: int = ROUNDS) -> dict:
-    """The model fitted to ``texts`` by soft expectation-maximisation, with START as a prior of PRIOR_WEIGHT pieces."""
-    base = start_model()
-    model = base
-    p = pieces(texts)
-    use = p["words"] > 0
-    for _ in range(rounds):
-        z, moves = posteriors(model, p)
-        odds = _word_odds(p, z[:, LABEL_OF == 0].sum(1))
-        p = pieces(texts, odds)
-        emit = []
-        for f, width in enumerate(WIDTHS):
-            n = np.stack([np.bincount(p["features"][use, f], z[use, s], minlength=width) for s in range(len(START))])
-            n += PRIOR_WEIGHT * np.exp(base["emit"][f])
-            emit.append(np.log(n / n.sum(1, keepdims=True)))
-        step = PRIOR_WEIGHT * np.exp(base["step"]) + moves
-        heads = p["offsets"][:-1][np.diff(p["offsets"]) > 0]
-        first = PRIOR_WEIGHT * np.exp(base["first"]) + z[heads].sum(0)
-        model = {"emit": emit, "step": np.log(step / step.sum(1, keepdims=True)), "first": np.log(first / first.sum()), "odds": odds}
-        model["step"][-1] = base["step"][-1]
+    """The model fitted to ``texts``, in this process."""
+    model = start_model()
+    for r in range(rounds):
+        keys, n = counts(model, texts)
+        model = updated(model, dict(zip(keys, n.tolist(), strict=True)), r < rounds - 1)
+    return model
+
+
+def fitted(slim: DataFrame, rounds: int = ROUNDS) -> dict:
+    """The model fitted to all texts of ``slim`` (doc, text); the counts of a round are summed by key."""
+    model, total = start_model(), slim.count()
+    for r in range(rounds):
+
+        def run(batches: Iterator, model: dict = model) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for lo in range(0, b.num_rows, 2048):
+                    keys, n = counts(model, b.slice(lo, 2048).column(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array(n[:, i]) for i in range(3)]], names=["key", "whole", "good", "pages"])
+
+        summed = slim.mapInArrow(run, "key string, whole bigint, good bigint, pages bigint").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("whole", "good", "pages")])
+        place = F.col("key").startswith("\t")
+        sums = {x["key"]: (x["whole"], x["good"], x["pages"]) for x in summed.where(place).collect()} if r == rounds - 1 else None
+        if sums is None:
+            often = (F.col("whole") >= max(WORD_COUNT, WORD_RATE * total)) & (F.col("pages") >= max(WORD_PAGES, WORD_SHARE * total))
+            sums = {x["key"]: (x["whole"], x["good"], x["pages"]) for x in summed.where(place | often).collect()}  # bounded by WORD_SHARE
+        if not sums:
+            return model
+        model = updated(model, sums, r < rounds - 1)
     return model
 
 
-def page_shares(df: DataFrame, doc: str, text: str, rows: int | None = None) -> DataFrame:
+def page_shares(df: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc``, ``words``, ``non_prose_words``, ``share`` the words of each state and the addresses, for every page.
 
     Whole texts are read. Null and empty texts, and texts of blanks, have no words and share 0. Repeated pages come out
     once each; other columns are ignored; an empty table gives no rows.
     """
     slim = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
-    total = rows if rows is not None else slim.count()
-    rate = min(1_000_000, int(1_000_000 * SAMPLE / max(1, total)) + 1)
-    sample = slim.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1_000_000)) < rate).select("text").limit(2 * SAMPLE).toArrow()
-    model = estimate(sample.column(0).combine_chunks()) if sample.num_rows else start_model()
+    model = fitted(slim)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
