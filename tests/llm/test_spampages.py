@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +94,44 @@ def test_all_pages_count(spark):
     got, want = S.fitted(df), S.estimate(pa.array(texts))
     assert got["odds"].keys() == want["odds"].keys() and all(abs(got["odds"][w] - v) < 1e-4 for w, v in want["odds"].items())
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got["emit"], want["emit"], strict=True)) and np.allclose(got["step"], want["step"], atol=1e-4)
+
+
+def test_words_are_counted_in_full_once(monkeypatch):
+    """Occurrences and pages don't depend on the model: after the first round only the words that have odds are counted, and
+    none in the last, which learns none."""
+    rnd = random.Random(5)
+    texts = pa.array([" ".join(rnd.choice(["ka", "lo", "mi"]) + " " + f"noun{rnd.randrange(500)}" for _ in range(6)) + "." for _ in range(200)])
+    seen, counts = [], S.counts
+
+    def watched(*args, **more):
+        keys, n = counts(*args, **more)
+        seen.append({str(k) for k in keys if not str(k).startswith("\t")})
+        return keys, n
+
+    monkeypatch.setattr(S, "counts", watched)
+    odds = S.estimate(texts)["odds"]
+    assert odds and len(seen[0]) > len(odds) and seen[1:] == [odds.keys(), set()]
+
+
+def test_pieces_against_plain_python():
+    texts = ["Lamp lamp LAMP élan. Second line here\n\nlamp\x0blamp  lamp\tgo\x0c!", None, "", " \n ", "a-b a-b", "ÉÉÉÉÉ ééééé\r\nlamp", "word " * 30]
+    odds = {"lamp": 1.0, "go": -2.0, "a": 0.25}
+    p, at = S.pieces(pa.array(["left out", *texts]).slice(1), odds), 0
+    for text, lo, hi in zip(texts, p["offsets"][:-1], p["offsets"][1:], strict=True):
+        lines = [x for line in re.split(r"[\r\n]+", (text or "").lower()) for x in re.split(r"(?<=[.!?…])[ \t]+", line)]
+        page = Counter(w for x in lines for w in re.findall(r"[^\W_]+", x))
+        assert hi - lo == len(lines)
+        for x in lines:
+            own = Counter(re.findall(r"[^\W_]+", x))
+            long = {w: n for w, n in own.items() if len(w) >= S.LONG_WORD}
+            letters = max(1, sum(len(w) * n for w, n in long.items()))
+            has = [odds[w] for w in own.elements() if w in odds]
+            shown = (
+                sum(len(w) * n for w, n in long.items() if n > 1) / letters,
+                sum(len(w) * n for w, n in long.items() if page[w] > 3) / letters,
+                sum(has) / max(1, len(has)),
+            )
+            assert p["words"][at] == len(re.findall(r"[^\t\n\f\r ]+", x))
+            assert list(p["features"][at, 4:]) == [int(np.digitize(v, b, right=True)) for v, b in zip(shown, S.BOUNDS[4:], strict=True)], x
+            at += 1
+    assert at == len(p["words"])
