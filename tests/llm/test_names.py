@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from weftgraph.llm import names as N
@@ -98,3 +101,74 @@ def test_initials_meet_the_names_they_stand_for(spark, a, b):
     rows = [(100 + i, f"{w} {x}{x[::-1]}rum", None, i, "") for i, (w, x) in enumerate((w, x) for w in ("William", "Anthony") for x in ends)]
     got = groups(spark, [(1, a, None, 0, ""), (2, b, None, 0, ""), (3, b, None, 0, ""), *rows])
     assert [1, 2, 3] in got and len(got) == 17
+
+
+def test_keys_are_the_deletions_of_tokens_and_of_them_joined():
+    """Two spellings have a key in common just if brute force over the texts finds one."""
+    typed = ["abab bab|john||", "abb bab|john||", "baab|john|a|", "babab|alfa/john||", "bababab|john||", "abab bab|john||2", "bab abab|||", "bba||j|", "abbabbbab|john||", "ababbabab|john||"]
+
+    def cut(t):
+        return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+
+    def brute(t):
+        core, sig, ini, num = N._unpack(t)
+        joined, first = "".join(core), sig[0][0] if sig else ""
+        stems = {("a", d) for x in core for d in cut(x)}
+        stems |= {("c", d) for d in cut(joined)} | {("c", "".join(reversed(core)))} if len(core) > 1 or len(joined) >= 9 else set()
+        return {(num, x, *s, x == first) for x in {first, *(w[0] for w in [*sig, *ini])} for s in stems}
+
+    row, key, as_c = N.block_keys(typed)
+    got = [{(int(k), bool(c)) for r, k, c in zip(row, key, as_c, strict=True) if r == i} for i in range(len(typed))]
+    want = [brute(t) for t in typed]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    drop = lambda keys: {k[:-1] for k in keys}
+    for g, w in zip(got, want, strict=True):
+        assert [len(drop(g) & drop(x)) for x in got] == [len(drop(w) & drop(x)) for x in want]
+    assert [len(x) for x in N.block_keys([])] == [0, 0, 0]
+
+
+def test_blocks_that_go_on_in_other_batches_lose_no_pair(spark, monkeypatch):
+    forms = [(f"{a}{b} smithson|john||", 9) for a in ("bako", "celu", "dimo") for b in ("fuga", "golu", "hari")] + [("bakofuga smithsno|john||", 1), ("fugabako|john||", 1), ("bakofgua|john||", 1)]
+    df = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(forms)], "id bigint, typed string, freq bigint")
+    want = {tuple(r) for r in N.attach(df).collect()}
+    assert (9, 0) in want and (11, 0) in want
+    try:
+        for rows, block in ((1, 400), (2, 4), (5, 2)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            monkeypatch.setattr(N, "BLOCK", block)
+            assert {tuple(r) for r in N.attach(df).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3), (1, 3, 2)])
+def test_equal_candidates_are_chosen_by_text(spark, ids):
+    """Whatever numbers the forms were given."""
+    rows = list(zip(ids, ("kanvongre|john||", "kanvangre|john||", "kanvingre|john||"), (1, 5, 5), strict=True))
+    df = spark.createDataFrame(rows, "id bigint, typed string, freq bigint")
+    assert (ids[0], ids[2]) in {tuple(r) for r in N.attach(df).collect()}
+
+
+def test_letters_rule_out_no_pair_that_the_channel_accepts():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("aeikortnmphf") for _ in range(draw.randint(3, 10)))
+
+    def typo(x):
+        i = draw.randrange(len(x) - 1)
+        return draw.choice([x[:i] + x[i + 1 :], x[:i] + draw.choice("aeikort") + x[i:], x[:i] + x[i + 1] + x[i] + x[i + 2 :], x.replace("rn", "m"), x.replace("m", "rn"), x.replace("f", "ph"), x])
+
+    forms, accepted, ruled_out = [], 0, 0
+    for _ in range(3000):
+        c = [word() for _ in range(draw.randint(1, 4))]
+        v = [typo(typo(x)) if draw.random() < 0.4 else x for x in c if len(c) == 1 or draw.random() < 0.8]
+        v = ["".join(v)] if draw.random() < 0.2 else v
+        if v:
+            forms.append((v, c))
+    count = lambda xs: np.array([N.letter_counts(" ".join(x)) for x in xs])
+    may = N._may_stand(count(v for v, _ in forms), count(c for _, c in forms))
+    for i, (v, _) in enumerate(forms):
+        for j in {i, *range(i % 40, len(forms), 40)}:
+            ok = N.channel_cost((v, [], ["a", "e", "i"], ""), (forms[j][1], [], [], "")) <= N.MOST_COST or N.channel_cost((v, [], [], ""), (forms[j][1], [], [], "")) <= N.MOST_COST
+            accepted, ruled_out = accepted + ok, ruled_out + (not may[i, j])
+            assert may[i, j] or not ok, (v, forms[j][1])
+    assert accepted > 1000 and ruled_out > 50_000

@@ -10,15 +10,19 @@ Attachments, and the spellings that stand side by side in one record, are then c
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.components import contract
+from weftgraph.llm.components import _mixed, contract
 from weftgraph.operators.skew import HOT_LEAST, HOT_PARTS, skew_safe_lookup
 from weftgraph.runtime import cut
 
@@ -64,8 +68,8 @@ SHARE, LEAST_NAMES, LEAST_COMPANY = 0.001, 4, 4
 LAMBDA = 3.0
 COST = {"edit": 1.0, "initial": 0.5, "short": 0.5, "dropped": 1.5, "class_dropped": 3.5}
 MOST_COST = 3.0
-#: Blocks with more spellings than this are cut into parts, and part meets part: the pairs are the same, the tasks smaller.
-BLOCK = 400
+#: Blocks with more spellings than this are cut into parts of PART times as many, and part meets part: the pairs are the same, the tasks smaller.
+BLOCK, PART = 400, 8
 
 _MARKS = "\"'“”„‘’«»‹›`´"
 _SPECIAL = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "đ": "d", "ı": "i"})
@@ -73,6 +77,14 @@ _DOTTED_LEGAL = re.compile(r"(?i)[\s,]+(s\.?\s?a\.?\s?r\.?\s?l|s\.?\s?a|s\.?\s?l
 _LEGAL_FIRST = re.compile(r"^(?:S\.A\.R\.L\.|S\.A\.|S\.L\.|B\.V\.|N\.V\.)\s+(?=\w+ \w)")
 _DIGITS = str.maketrans("015689", "olsbbg")
 _NUM = re.compile(r"^(?:\d+|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii)$")
+_SIGNS = re.compile(r"[®™©\u200b\ufeff]|TM\b(?<=\wTM)")
+_BRACKETS = re.compile(r"\s*[\(\[][^)\]]*[\)\]]\s*")
+_QUOTED = re.compile(rf"(?<=\s)[{_MARKS}]\w+[{_MARKS}](?=\s)")
+_CAPITALS = re.compile(r"(?:[A-Z0-9]\.?){2,6}")
+_POINTED = re.compile(r"\b([A-Za-z])\.(?=\s*[A-Za-z])")
+_JOINED = re.compile(r"(?<=[a-z]{3})([A-Z][a-z]{2})")
+_POSSESSIVE = re.compile(r"['’](?=[a-z]\b)")
+_TOKEN = re.compile(r"[a-z0-9]+")
 
 
 def clean(raw: str | None) -> str:
@@ -80,24 +92,34 @@ def clean(raw: str | None) -> str:
     numeral is kept as ``#n``, an initial as ``x.``; an all-capital single word of up to six letters as ``!word``."""
     if raw is None:
         return ""
-    s = unicodedata.normalize("NFKD", raw.translate(_SPECIAL))
-    s = "".join(c for c in s if not unicodedata.combining(c)).replace("_", " ")
-    s = re.sub(r"[®™©​﻿]|TM\b(?<=\wTM)", "", s)
+    s, plain = raw, raw.isascii()  # what needs a sign that is not there is left out
+    if not plain:
+        s = unicodedata.normalize("NFKD", raw.translate(_SPECIAL))
+        s = "".join(c for c in s if not unicodedata.combining(c))
+    s = s.replace("_", " ")
+    if not plain or "TM" in s:
+        s = _SIGNS.sub("", s)
     s = " ".join(s.split()).strip(_MARKS + " .,;:")
-    s = re.sub(r"\s*[\(\[][^)\]]*[\)\]]\s*", " ", s).strip()
-    if " " in s:
-        s = re.sub(rf"(?<=\s)[{_MARKS}]\w+[{_MARKS}](?=\s)", " ", s)
-    s = _DOTTED_LEGAL.sub("", _LEGAL_FIRST.sub("", s))
+    if "(" in s or "[" in s:
+        s = _BRACKETS.sub(" ", s).strip()
+    if " " in s and (not plain or '"' in s or "'" in s or "`" in s):
+        s = _QUOTED.sub(" ", s)
+    if s[1:2] == ".":
+        s = _LEGAL_FIRST.sub("", s)
+    if s.rstrip(" .")[-1:] in ("l", "a", "v", "c", "L", "A", "V", "C"):
+        s = _DOTTED_LEGAL.sub("", s)
     if s.count(",") == 1:
         head, tail = (x.strip() for x in s.split(","))
         if head and tail and tail.lower().strip(".") not in LEGAL:
             s = f"{tail} {head}"
-    if re.fullmatch(r"(?:[A-Z0-9]\.?){2,6}", s) and not s.isdigit():
+    if _CAPITALS.fullmatch(s) and not s.isdigit():
         return "!" + re.sub(r"[^a-z0-9]", "", s.lower())
-    s = re.sub(r"\b([A-Za-z])\.(?=\s*[A-Za-z])", r"\1. ", s)
-    s = re.sub(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})", " ", s)
-    s = re.sub(r"['’](?=[a-z]\b)", "", s.lower())
-    tokens = [t for t in re.findall(r"[a-z0-9]+", s)]
+    if "." in s:
+        s = _POINTED.sub(r"\1. ", s)
+    s = _JOINED.sub(r" \1", s).lower()
+    if "'" in s or "’" in s:
+        s = _POSSESSIVE.sub("", s)
+    tokens = _TOKEN.findall(s)
     out: list[str] = []
     for i, t in enumerate(tokens):
         if t in DECOR or (t in LEGAL and (i or len(tokens) > 2)):
@@ -107,7 +129,7 @@ def clean(raw: str | None) -> str:
         elif len(t) == 1:
             out.append(t + ".")
         else:
-            if not t.isdigit() and any(c.isdigit() for c in t):
+            if not t.isalpha() and not t.isdigit():
                 t = t.translate(_DIGITS)
             out.append(SAME_WORD.get(t, t))
     return " ".join(out)
@@ -164,9 +186,12 @@ class Vocabulary:
 
     def _fuzzy(self, t: str) -> str | None:
         forms = [t, *(t[:i] + t[i + 1 :] for i in range(len(t)))]
-        for f in forms:
-            if f in self.words and abs(len(f) - len(t)) <= 1 and len(f) >= 5:
-                return f
+        if not self.words.isdisjoint(forms):
+            for f in forms:
+                if f in self.words and abs(len(f) - len(t)) <= 1 and len(f) >= 5:
+                    return f
+        if self.near.keys().isdisjoint(forms):
+            return None
         for f in forms:
             w = self.near.get(f)
             if w and w[0] == t[0] and abs(len(w) - len(t)) <= 1 and len(w) >= 6:
@@ -196,27 +221,100 @@ class Vocabulary:
         return core, sorted(set(sig)), ini, num, self._names_someone(core, sig, ini)
 
 
-def deletions(t: str) -> set[str]:
-    return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+@lru_cache(maxsize=1 << 16)
+def _base(num: str, letter: str, kind: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{num}|{letter}|{kind}".encode(), digest_size=8).digest())
+
 
+#: An odd factor and its inverse modulo 2^64, so that the letters behind a deleted one move up by a product.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
-def block_keys(core: list[str], sig: list[str], ini: list[str], num: str) -> tuple[list[str], list[str]]:
-    """Keys under which a spelling meets those within one edit of one of its core tokens, or of them joined: as a
-    candidate, and those it has as a variant only.
 
-    A candidate shows the letter of its first word, or none. A variant must have that word, a short form or an initial
-    of it, so it looks under the letters of all its words and initials, and under none if it has no word."""
-    stems: set[str] = set()
-    for t in core:
-        stems |= {"a" + d for d in deletions(t)}
-    joined = "".join(core)
-    if len(core) > 1:
-        stems |= {"c" + d for d in deletions(joined)} | {"c" + "".join(reversed(core))}
-    elif len(joined) >= 9:
-        stems |= {"c" + d for d in deletions(joined)}
-    first = sig[0][:1] if sig else ""
-    letters = {w[:1] for w in [*sig, *ini]} - {first}
-    return [f"{num}|{first}|{s}" for s in stems], [f"{num}|{x}|{s}" for s in stems for x in letters]
+def block_keys(typed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, as_c): hashed keys under which spellings meet those within one edit of one of their core tokens, or of
+    them joined: as a candidate, and (not as_c) those they have as a variant only.
+
+    Keys are the tokens (kind a) and the tokens joined (kind c), each whole and without any one of its letters, and the tokens
+    joined in reverse order (c), all with the numeral and a letter. A candidate shows the letter of its first word, or none.
+    A variant must have that word, a short form or an initial of it, so it looks under the letters of all its words and
+    initials, and under none if it has no word. All hashes of a batch are sums over the letters of all its texts; a key may
+    occur twice in a row.
+    """
+    texts: list[str] = []
+    row: list[int] = []
+    base: list[int] = []
+    both: list[bool] = []
+    cuts: list[bool] = []
+    for i, t in enumerate(typed):
+        core, sig, ini, num = _unpack(t)
+        joined = "".join(core)
+        stems = [(x, "a", True) for x in dict.fromkeys(core)]
+        if len(core) > 1:
+            stems += [(joined, "c", True), ("".join(reversed(core)), "c", False)]
+        elif len(joined) >= 9:
+            stems.append((joined, "c", True))
+        first = sig[0][:1] if sig else ""
+        for letter in (first, *({w[0] for w in [*sig, *ini]} - {first})):
+            for x, kind, cut_too in stems:
+                texts.append(x)
+                row.append(i)
+                base.append(_base(num, letter, kind))
+                both.append(letter == first)
+                cuts.append(cut_too)
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(texts)), size)
+    power = np.ones(size.max(initial=0) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        power[1:] = np.cumprod(np.full(len(power) - 1, _STEP, np.uint64))
+        at = np.arange(len(letters)) - start[of]
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(letters, 1) * power[at], dtype=np.uint64)])
+        whole = before[start + size] - before[start]
+        # deleting any letter of a run gives the same text
+        keep = np.array(cuts)[of]
+        keep[1:] &= (letters[1:] != letters[:-1]) | (at[1:] == 0)
+        i = np.flatnonzero(keep)
+        o = of[i]
+        without = before[i] - before[start[o]] + (before[(start + size)[o]] - before[i + 1]) * np.uint64(_BACK)
+        text = np.concatenate([np.arange(len(texts)), o])
+        key = _mixed(_mixed(np.concatenate([whole, without]), 2) + np.array(base, np.uint64)[text], 3)
+    return np.array(row)[text], key.view(np.int64), np.array(both)[text]
+
+
+MET = "key bigint, v bigint, c bigint, w int, as_c boolean"
+
+
+def _met(v: np.ndarray, c: np.ndarray | None = None, key: np.ndarray | None = None, w: np.ndarray | None = None, as_c: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of MET: pairs ``v``, ``c`` without a key, or rows of a large block without ``c``."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.nulls(len(v), t) if x is None else pa.array(x, t) for x, t in zip((key, v, c, w, as_c), types, strict=True)], ["key", "v", "c", "w", "as_c"])
+
+
+def _met_in_blocks(key: np.ndarray, ids: np.ndarray, w: np.ndarray, as_c: np.ndarray, most: int, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole blocks of rows in the order of ``key``; the rows of blocks of more than ``most`` as they are."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    n = np.repeat(size, size)
+    if len(large := np.flatnonzero(n > most)):
+        yield _met(ids[large], None, key[large], w[large], as_c[large])
+    i = np.flatnonzero((n > 1) & (n <= most))
+    n, first = n[i], np.repeat(start, size)[i]
+    upto = np.cumsum(n)
+    lo = 0
+    while lo < len(i):  # about ``step`` pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, "right")))
+        m = n[lo:hi]
+        a = np.repeat(i[lo:hi], m)
+        b = np.repeat(first[lo:hi] - (np.cumsum(m) - m), m) + np.arange(len(a))
+        ok = as_c[b] & (ids[a] != ids[b]) & ((w[a] == w[b]) | (w[a] == 0) | (w[b] == 0))
+        if ok.any():
+            found = pd.DataFrame({"v": ids[a[ok]], "c": ids[b[ok]]}).drop_duplicates()
+            yield _met(found["v"].to_numpy(), found["c"].to_numpy())
+        lo = hi
 
 
 @lru_cache(maxsize=1 << 17)
@@ -228,23 +326,48 @@ def _letters(t: str) -> int:
     return m
 
 
-@lru_cache(maxsize=1 << 17)
+def _apart(a: str, b: str, most: int) -> bool:
+    """More than ``most`` edits apart by lengths or letters alone."""
+    if abs(len(a) - len(b)) > most:
+        return True
+    x, y = _letters(a), _letters(b)
+    # one edit takes away one letter and brings one at most (two for one in the look-alikes below, of which most >= 2 allows one)
+    return (x & ~y).bit_count() > most or (y & ~x).bit_count() > most
+
+
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """What is left of both without their common beginning and, after it, their common end."""
+    i, j, n = 0, 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return a[i : len(a) - j], b[i : len(b) - j]
+
+
+def _within_one(a: str, b: str) -> bool:
+    a, b = _middles(a, b)
+    return len(a) + len(b) < 2 or len(a) == len(b) and (len(a) == 1 or len(a) == 2 and a == b[::-1])
+
+
 def _osa(a: str, b: str, most: int) -> int:
     """Edit distance with neighbouring letters swapped as one edit; anything above ``most`` is most + 1."""
     if a == b:
         return 0
-    x, y = _letters(a), _letters(b)
-    # one edit takes away one letter and brings one at most (two for one in the look-alikes below, of which most >= 2 allows one)
-    if abs(len(a) - len(b)) > most or (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+    if _apart(a, b, most):
         return most + 1
-    if a.replace("rn", "m").replace("ph", "f") == b.replace("rn", "m").replace("ph", "f"):  # look or sound alike
+    if ("rn" in a or "rn" in b or "ph" in a or "ph" in b) and a.replace("rn", "m").replace("ph", "f") == b.replace("rn", "m").replace("ph", "f"):  # look or sound alike
         return 1
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    a, b = _middles(a, b)
     if not a or not b:
         return min(len(a) + len(b), most + 1)
+    if len(a) == len(b) and (len(a) == 1 or len(a) == 2 and a == b[::-1]):
+        return min(1, most + 1)
+    if most < 2:  # any other difference takes two edits
+        return most + 1
+    if most == 2:  # the first letters differ, so one edit is there: is the rest one edit at most?
+        rests = [(a[1:], b), (a, b[1:]), (a[1:], b[1:])] + [(a[2:], b[2:])] * (a[:2] == b[1::-1])
+        return 2 if any(abs(len(x) - len(y)) < 2 and _within_one(x, y) for x, y in rests) else 3
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -266,9 +389,9 @@ def _allowed(t: str) -> int:
 def _core_cost(v: list[str], c: list[str], ini: list[str]) -> tuple[float, list[str]]:
     """Cost of the core tokens of variant ``v`` as a rendering of ``c``, and the initials of ``ini`` left over."""
     best = 99.0
-    jv, jc = "".join(v), "".join(c)
     if len(v) != len(c) or len(v) == 1:
-        for alt in {jc, "".join(reversed(c))}:
+        jv, jc = "".join(v), "".join(c)
+        for alt in {jc, "".join(reversed(c))} if abs(len(jv) - len(jc)) <= 2 else ():
             d = _osa(jv, alt, 2)
             if d <= (2 if len(alt) >= 9 else _allowed(alt)):
                 best = min(best, d * COST["edit"])
@@ -280,7 +403,8 @@ def _core_cost(v: list[str], c: list[str], ini: list[str]) -> tuple[float, list[
         else:
             rest.append(t)
     for t in rest:
-        options = [(d, x) for x in left if (d := _osa(t, x, 2)) <= min(_allowed(x), _allowed(t))]
+        most = _allowed(t)
+        options = [(d, x) for x in left if most and len(x) > 2 and abs(len(t) - len(x)) <= 2 and (d := _osa(t, x, 2)) <= min(_allowed(x), most)]
         if not options:
             cost = 99.0
             break
@@ -345,11 +469,11 @@ def _unpack(s: str) -> tuple:
     return core.split(), sig.split(), ini.split(), num
 
 
-PARSED = "core string, sig string, ini string, num string, strong boolean"
+PARSED = "norm string, typed string, strong boolean"
 
 
 def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[DataFrame, DataFrame]:
-    """(records, forms): ``rec, norm, is_name`` for every strong spelling of a record, and ``norm, freq, typed`` of each form.
+    """(records, forms): ``rec, id, is_name`` for every strong spelling of a record, and ``id, norm, freq, typed`` of each form.
 
     ``norm`` is ``core|words|initials|numeral``, equal for all spellings that differ in case, accents, order, titles,
     legal form or marks only.
@@ -375,23 +499,81 @@ def spellings(df: DataFrame, record: str, name: str, aliases: str) -> tuple[Data
 
     @F.pandas_udf(PARSED)
     def parsed(c: pd.Series) -> pd.DataFrame:
-        out = [vocabulary.parse(x) for x in c]
-        return pd.DataFrame({"core": [" ".join(o[0]) for o in out], "sig": [" ".join(o[1]) for o in out], "ini": [" ".join(o[2]) for o in out], "num": [o[3] for o in out], "strong": [o[4] for o in out]})
-
-    known = texts.withColumn("p", parsed("cleaned")).select("raw", "p.*")
-    order = F.array_join(F.array_sort(F.split("core", " ")), " ")
-    known = cut(known.select("raw", F.concat_ws("|", order, "sig", "ini", "num").alias("norm"), F.concat_ws("|", "core", "sig", "ini", "num").alias("typed"), "strong"))
+        norms, typed, strong = [], [], []
+        for core, sig, ini, num, names_someone in map(vocabulary.parse, c):
+            rest = f"|{' '.join(sig)}|{' '.join(ini)}|{num}"
+            norms.append(" ".join(sorted(core)) + rest)
+            typed.append(" ".join(core) + rest)
+            strong.append(names_someone)
+        return pd.DataFrame({"norm": norms, "typed": typed, "strong": strong})
+
+    known = cut(texts.withColumn("p", parsed("cleaned")).where("p.strong").select("raw", "p.norm", "p.typed"))
+    typed = cut(known.groupBy("norm").agg(F.min("typed").alias("typed")).withColumn("id", F.monotonically_increasing_id()))
     # a spelling that very many records bear: its rows are counted already
     spelled = texts.agg(F.sum("n")).first()[0] or 0
     hot = [r["raw"] for r in texts.where(F.col("n") > max(HOT_LEAST, spelled // HOT_PARTS)).select("raw").collect()]  # fewer than HOT_PARTS
-    recs = skew_safe_lookup(rows, known, "raw", spelled, hot).where("strong").select("rec", "norm", "typed", "is_name").distinct()
-    recs = cut(recs)
-    forms = recs.groupBy("norm").agg(F.count_distinct("rec").alias("freq"), F.min("typed").alias("typed"))
-    return recs.select("rec", "norm", "is_name").distinct(), forms
+    ids = known.select("raw", "norm").join(typed.select("norm", "id"), "norm").select("raw", "id")
+    recs = cut(skew_safe_lookup(rows, ids, "raw", spelled, hot).where("id is not null").select("rec", "id", "is_name").distinct())
+    freq = recs.select("rec", "id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("freq"))
+    return recs, cut(typed.join(freq, "id"))
+
+
+def _met_in_parts(key: np.ndarray, ids: np.ndarray, w: np.ndarray, letters: np.ndarray, as_v: np.ndarray, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of the variants and the candidates under each key that may stand for each other; rows are in the order of ``key``."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for lo, hi in zip(start, [*start[1:], len(key)], strict=True):
+        if hi - lo == 1 or hi - lo == 2 and ids[lo] == ids[lo + 1]:
+            continue
+        is_v = as_v[lo:hi]
+        v, c = lo + np.flatnonzero(is_v), lo + np.flatnonzero(~is_v)
+        if not len(c):
+            continue
+        some = max(1, step // len(c))  # about ``step`` pairs at a time
+        for x in (v[i : i + some] for i in range(0, len(v), some)):
+            wv, wc = w[x][:, None], w[c][None, :]
+            ok = (ids[x][:, None] != ids[c][None, :]) & ((wv == wc) | (wv == 0) | (wc == 0)) & _may_stand(letters[x], letters[c])
+            a, b = np.nonzero(ok)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[a]]), pa.array(ids[c[b]])], ["v", "c"])
+
+
+#: Letters that look-alikes (rn and m, ph and f) leave alone, each counted up to three times in two bits of a bigint; the number of tokens lies above them.
+_COUNTED = "abcdegijkloqstuvwxyz"
+_TOKENS_AT = 2 * len(_COUNTED)
+
+
+def letter_counts(core: str) -> int:
+    """The letters of the core tokens and their number, for ``_may_stand``."""
+    n = min(core.count(" ") + 1, 1 << 20) << _TOKENS_AT
+    for i, c in enumerate(_COUNTED):
+        n |= min(core.count(c), 3) << (2 * i)
+    return n
+
+
+def _unary(counts: np.ndarray) -> np.ndarray:
+    """A column for each of up to three occurrences of each letter: products of rows are the letters in common."""
+    n = (counts[:, None] >> (2 * np.arange(len(_COUNTED)))) & 3
+    return (n[:, :, None] > np.arange(3)).reshape(len(counts), -1).astype(np.float32)
+
+
+def _may_stand(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which of ``letter_counts`` ``v`` may be variants of which ``c`` by their letters; whatever ``channel_cost`` accepts is among them.
+
+    An edit brings and takes away one counted letter at most, a look-alike none. Tokens edited one by one have at most ``edits``
+    of them; as many tokens on both sides leave none of the candidate's out. A dropped token costs at least COST["initial"] of
+    that. Otherwise the tokens joined are at most two edits apart.
+    """
+    x, y = _unary(v), _unary(c)
+    common = x @ y.T
+    brought, taken = x.sum(1)[:, None] - common, y.sum(1)[None, :] - common
+    nv, nc = (v >> _TOKENS_AT)[:, None], (c >> _TOKENS_AT)[None, :]
+    edits, beside_dropped = (max(2, int((MOST_COST - x) / COST["edit"])) for x in (0.0, COST["initial"]))
+    same = (nv == nc) & (brought <= edits) & (taken <= edits)
+    return same | (nv > nc) & (brought <= 2) & (taken <= 2) | (nv < nc) & (brought <= beside_dropped)
 
 
 def in_parts(block: DataFrame) -> DataFrame:
-    """Rows of large blocks (``key, id, w, as_c``) under finer keys with their roles ``as_v`` and ``as_c``; no pair is lost.
+    """Rows of large blocks (``key, id, w, as_c, letters``) under finer keys with their roles ``as_v`` and ``as_c``; no pair is lost.
 
     Spellings of fixed words meet those of the same words; those with loose words (0) meet all. What is still large is
     cut into parts by id, and every part as variants meets every part as candidates.
@@ -400,42 +582,79 @@ def in_parts(block: DataFrame) -> DataFrame:
     role = lambda key, as_v, as_c: F.struct(key.alias("sub"), F.lit(as_v).alias("as_v"), (F.lit(as_c) & F.col("as_c")).alias("as_c"))
     fixed = F.array(role(same, True, True), role(loose_v, False, True), role(loose_c, True, False))
     loose = F.array(role(loose_v, True, True), role(loose_c, False, True))
-    subs = block.select("id", "w", F.explode(F.when(F.col("w") == 0, loose).otherwise(fixed)).alias("s")).select("id", "w", "s.*")
-    subs = subs.withColumn("m", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sub")) / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), "m"))
+    subs = block.select("id", "w", "letters", F.explode(F.when(F.col("w") == 0, loose).otherwise(fixed)).alias("s")).select("id", "w", "letters", "s.*")
+    subs = subs.withColumn("m", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sub")) / (PART * BLOCK))).withColumn("part", F.pmod(F.xxhash64("id"), "m"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))
-    as_v = subs.where("as_v").select("*", other.alias("o")).select(F.xxhash64("sub", "part", "o").alias("key"), "id", "w", F.lit(True).alias("as_v"), F.lit(False).alias("as_c"))
-    as_c = subs.where("as_c").select("*", other.alias("o")).select(F.xxhash64("sub", "o", "part").alias("key"), "id", "w", F.lit(False).alias("as_v"), F.lit(True).alias("as_c"))
+    as_v = subs.where("as_v").select("*", other.alias("o")).select(F.xxhash64("sub", "part", "o").alias("key"), "id", "w", "letters", F.lit(True).alias("as_v"), F.lit(False).alias("as_c"))
+    as_c = subs.where("as_c").select("*", other.alias("o")).select(F.xxhash64("sub", "o", "part").alias("key"), "id", "w", "letters", F.lit(False).alias("as_v"), F.lit(True).alias("as_c"))
     return as_v.unionByName(as_c)
 
 
 def attach(forms: DataFrame) -> DataFrame:
     """``a``, ``b``: every form with its canonical form of maximum posterior, where one is likely enough."""
 
-    @F.pandas_udf("array<struct<k:array<string>,as_c:boolean>>")
-    def keys(typed: pd.Series) -> pd.Series:
-        out = []
-        for t in typed:
-            both, more = block_keys(*_unpack(t))
-            out.append([{"k": both, "as_c": True}, {"k": more, "as_c": False}] if more else [{"k": both, "as_c": True}])
-        return pd.Series(out)
+    most = BLOCK
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, key, as_c = block_keys(b.column("typed").to_pylist())
+            ids, w = (b.column(x).to_numpy()[row] for x in ("id", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(w), pa.array(as_c)], ["key", "id", "w", "as_c"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None  # the rows of the last key, which may go on; the key of a block that is large already
+        for b in batches:
+            rows = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "id", "w", "as_c")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if large is not None and (n := int(np.searchsorted(rows[0], large, "right"))):
+                yield _met(rows[1][:n], None, *(rows[i][:n] for i in (0, 2, 3)))
+                rows = [x[n:] for x in rows]
+            held, large = None, large if not len(rows[0]) else None
+            if len(rows[0]):
+                n = int(np.searchsorted(rows[0], rows[0][-1]))
+                if n:
+                    yield from _met_in_blocks(*(x[:n] for x in rows), most)
+                held = [x[n:] for x in rows]
+                if len(held[0]) > most:
+                    yield _met(held[1], None, held[0], held[2], held[3])
+                    held, large = None, held[0][0]
+        if held is not None:
+            yield from _met_in_blocks(*held, most)
 
     # words must agree, so their hash goes along; 0 where short forms or initials may still stand for others
     part = F.split("typed", r"\|")
     loose = part[1].contains("/") | (part[2] != "")
     words = F.when(loose, F.lit(0)).otherwise(F.hash(part[1]))
-    # one shuffle serves the sizes and the rows, as both read all its columns
-    seen = forms.select("id", words.alias("w"), F.explode(keys("typed")).alias("s")).select("id", "w", "s.as_c", F.explode("s.k").alias("k"))
-    keyed = seen.select(F.xxhash64("k").alias("key"), "id", "w", "as_c").repartition("key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("any"), F.max("as_c").alias("met")).where("lo <> hi and any is not null and met")
-    # the keys that matter are fewer than the rows: a hash table of each partition's part of them, without a sort
-    block = cut(keyed.join(sizes.select("key", "n").hint("shuffle_hash"), "key"))
+    keyed = forms.select("id", "typed", words.alias("w")).mapInArrow(keys, "key bigint, id bigint, w int, as_c boolean")
+    # blocks come whole and in order, so a task pairs them one after the other; large ones are left to in_parts
+    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, MET))
     core, sig, ini, num = (F.split("typed", r"\|")[i] for i in range(4))
     said = F.size(F.split(F.concat_ws(" ", core, sig), " "))
     info = cut(forms.select("id", "freq", "typed", said.alias("words"), sig.alias("sig"), num.alias("num"), sig.contains("/").alias("open"), (ini != "").alias("ini")))
-    small = block.where(F.col("n") <= BLOCK).select("key", "id", "w", F.lit(True).alias("as_v"), "as_c")
-    split = small.unionByName(in_parts(block.where(F.col("n") > BLOCK)))
-    v, c = split.where("as_v").select("key", F.col("id").alias("v"), F.col("w").alias("wv")), split.where("as_c").select("key", F.col("id").alias("c"), F.col("w").alias("wc"))
-    pairs = v.join(c, "key").where("v <> c and (wv = wc or wv = 0 or wc = 0)").select("v", "c").distinct()
+    large = met.where("key is not null").select("key", F.col("v").alias("id"), "w", "as_c")
+
+    @F.pandas_udf("bigint")
+    def letters(core: pd.Series) -> pd.Series:
+        return core.map(letter_counts)
+
+    counted = forms.join(large.select("id").distinct(), "id", "left_semi").select("id", letters(part[0]).alias("letters"))
+
+    def meet_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            rows = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "id", "w", "letters", "as_v")]
+            held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            if len(held[0]) and (n := int(np.searchsorted(held[0], held[0][-1]))):
+                yield from _met_in_parts(*(x[:n] for x in held))
+                held = [x[n:] for x in held]
+        if held and len(held[0]):
+            yield from _met_in_parts(*held)
+
+    split = in_parts(large.join(counted, "id")).select("key", "id", "w", "letters", "as_v")
+    pairs = split.repartition("key").sortWithinPartitions("key").mapInArrow(meet_parts, "v bigint, c bigint")
+    # spread by v, they are distinct and meet their variant's text without another shuffle
+    pairs = pairs.unionByName(met.where("key is null").select("v", "c")).repartition("v").distinct()
     renamed = lambda p: info.select(*[F.col(x).alias(p if x == "id" else p + x) for x in info.columns])
     # a candidate is at least as frequent as the variant, or says more; words that differ can only be short forms or stand for initials
     pairs = pairs.join(renamed("v"), "v").join(renamed("c"), "c").where("cwords > vwords or cfreq >= vfreq")
@@ -447,8 +666,9 @@ def attach(forms: DataFrame) -> DataFrame:
 
     scored = likely.withColumn("cost", cost("vtyped", "ctyped")).where(F.col("cost") <= MOST_COST)
     posterior = F.log(F.col("cfreq")) - LAMBDA * F.col("cost")
-    best = scored.groupBy("v").agg(F.max(F.struct(posterior.alias("p"), (-F.col("c")).alias("neg"))).alias("m"))
-    return best.select(F.col("v").alias("a"), (-F.col("m.neg")).alias("b"))
+    # of equal ones the form that is last by its text, whatever ids the forms were given
+    best = scored.groupBy("v").agg(F.max(F.struct(posterior.alias("p"), F.col("ctyped"), F.col("c"))).alias("m"))
+    return best.select(F.col("v").alias("a"), F.col("m.c").alias("b"))
 
 
 def same_names(df: DataFrame, record: str, name: str, aliases: str) -> DataFrame:
@@ -457,17 +677,15 @@ def same_names(df: DataFrame, record: str, name: str, aliases: str) -> DataFrame
     Records whose name and aliases are null, blank, a single given name, an acronym or words that name no one in particular
     are in no group. Rows delivered again count once. An alias that stands beside many different names links nothing.
     """
-    recs, forms = spellings(df, record, name, aliases)
-    forms = cut(forms.withColumn("id", F.monotonically_increasing_id()))
-    of = cut(recs.join(forms.select("norm", "id"), "norm").select("rec", "id", "is_name"))
+    of, forms = spellings(df, record, name, aliases)
     # an alias is too general if the names beside it begin in many ways
     head = F.substring("norm", 1, 2)
     named = of.where("is_name").join(forms.select("id", head.alias("head")), "id").select("rec", F.col("id").alias("name_id"), "head")
     beside = of.where("not is_name").join(named, "rec")
     heads = beside.groupBy("id", "head").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     general = heads.where("n >= 4 and top * 2 < n").select("id")
-    good = of.where("not is_name").join(general, "id", "left_anti").select("rec", "id").unionByName(of.where("is_name").select("rec", "id"))
-    first = good.groupBy("rec").agg(F.min("id").alias("hub"))
+    good = cut(of.where("not is_name").join(general, "id", "left_anti").select("rec", "id").unionByName(of.where("is_name").select("rec", "id")))
+    first = cut(good.groupBy("rec").agg(F.min("id").alias("hub")))
     together = good.join(first, "rec").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     edges = together.unionByName(attach(forms)).distinct()
     comp = contract(edges)
